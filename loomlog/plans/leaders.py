@@ -96,14 +96,13 @@ def absorbed(ws: Workspace, edges: DataFrame, n: int) -> DataFrame | None:
 
 def _choose(pairs: DataFrame, member: str, leader: str, mode: str) -> DataFrame:
     """One leader per member: the earliest, or the most similar (ties earliest)."""
-    if mode == "first":
-        pick = F.min(F.struct(F.col(leader).alias("cluster_id"), "similarity"))
-    else:
-        pick = F.min_by(
-            F.struct(F.col(leader).alias("cluster_id"), "similarity"),
-            F.struct(-F.col("similarity"), F.col(leader)),
-        )
-    return pairs.groupBy(F.col(member).alias("id")).agg(pick.alias("p")).select("id", "p.*")
+    keys = [F.col(leader).alias("l"), (-F.col("similarity")).alias("s")]
+    pick = F.min(F.struct(*(keys if mode == "first" else reversed(keys))))
+    return (
+        pairs.groupBy(F.col(member).alias("id"))
+        .agg(pick.alias("p"))
+        .select("id", F.col("p.l").alias("cluster_id"), (-F.col("p.s")).alias("similarity"))
+    )
 
 
 def assign_members(

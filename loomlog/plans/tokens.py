@@ -121,17 +121,18 @@ def required_overlap(threshold: float, b: Column, partner_longer: bool) -> Colum
     return F.ceil(bound - EPS).cast("int")
 
 
-def _mask(i: int) -> Column:
-    lo, hi = 64 * i, 64 * i + 63
-    return F.aggregate(
-        "slots",
-        F.lit(0).cast("bigint"),
-        lambda acc, x: F.when(x.between(lo, hi), acc.bitwiseOR(_bit(x))).otherwise(acc),
-    )
-
+def _masks() -> Column:
+    """The slots as an array of bit words."""
+
+    def word(i: Column) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x % 64)
+        return F.aggregate(
+            F.filter("slots", lambda x: F.floor(x / 64) == i),
+            F.lit(0).cast("bigint"),
+            lambda acc, x: acc.bitwiseOR(bit(x)),
+        )
 
-def _bit(slot: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), slot % 64)
+    return F.transform(F.sequence(F.lit(0), F.lit(len(MASKS) - 1)), word)
 
 
 def _length_bucket(threshold: float) -> Column:
@@ -172,15 +173,14 @@ def with_join_keys(
         return F.transform(tokens, lambda tok: F.xxhash64(*by, bucket, tok))
 
     g = F.col("_g")
-    return (
-        df.withColumn("_ranked", ranked)
-        .withColumn("_g", _length_bucket(threshold))
-        .withColumn("_short", prefix(True))
-        .withColumn("_long", prefix(False))
-        .withColumn("short_keys", keys("_short", g))
-        .withColumn("long_keys", F.concat(keys("_long", g), keys("_long", g - 1)))
-        .withColumns({name: _mask(i) for i, name in enumerate(MASKS)})
-        .drop("_ranked", "_g", "_short", "_long", "slots")
+    kept = [F.col(c) for c in df.columns if c != "slots"]
+    staged = df.withColumns({"_ranked": ranked, "_g": _length_bucket(threshold), "_masks": _masks()})
+    staged = staged.withColumns({"_short": prefix(True), "_long": prefix(False)})
+    return staged.select(
+        *kept,
+        keys("_short", g).alias("short_keys"),
+        F.concat(keys("_long", g), keys("_long", g - 1)).alias("long_keys"),
+        *[F.col("_masks")[i].alias(name) for i, name in enumerate(MASKS)],
     )
 
 

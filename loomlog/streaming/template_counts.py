@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from loomlog.functions.text import with_template
 from loomlog.operators.cluster import Clustering, cluster
@@ -36,12 +37,16 @@ def template_counts_stream(
     ``assign_to`` in a ``foreachBatch``. State holds one counter per open window
     and template; late lines beyond the watermark are dropped by Spark.
     """
+    ntz = isinstance(df.schema["ts"].dataType, TimestampNTZType)
+    start = F.col("window.start")
     counts = (
+        # event time must be a TIMESTAMP; the window goes back to the input's type
         with_template(df, word_filter)
+        .withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", watermark)
         .groupBy(F.window("ts", width), "normalized_text")
         .agg(F.count(F.lit(1)).alias("occurrences"))
-        .select(F.col("window.start").alias("window_start"), "normalized_text", "occurrences")
+        .select((start.cast("timestamp_ntz") if ntz else start).alias("window_start"), "normalized_text", "occurrences")
     )
     if known is None:
         return counts
