@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlog.operators.cluster import Clustering, check_mode, cluster_templates
 from loomlog.operators.templates import rank_order, templates
-from loomlog.plans.leaders import _choose, comparable, join_table, rank
+from loomlog.plans.leaders import _choose, join_table, rank, save_comparable, spread
 from loomlog.plans.simjoin import similar_rows
 from loomlog.plans.tokens import check_metric, check_threshold, token_order, with_tokens
 from loomlog.workspace import Workspace
@@ -40,14 +40,12 @@ def assign_templates(
 
     old, n_old = rank(ws, clusters.select(*by, "cluster_id", text, "count").orderBy(*rank_order(by)))
     fresh, n_new = rank(ws, new.orderBy(*rank_order(by)))
-    order = token_order(
-        with_tokens(old.select("id", text).unionAll(fresh.select("id", text)), text, metric)
-    )
-    left = comparable(join_table(old, text, threshold, metric, by, order))
-    right = comparable(join_table(fresh, text, threshold, metric, by, order))
-    left, nl = ws.save(left, "old")
-    right, nr = ws.save(right, "new")
-    close = similar_rows(left, right, threshold, metric, by, rows=(nl, nr))
+    olds = spread(old.select("id", *by, text), n_old)
+    news = spread(fresh.select("id", *by, text), n_new)
+    order = token_order(with_tokens(olds.unionAll(news), text, metric))
+    left = save_comparable(ws, join_table(olds, text, threshold, metric, by, order), "old")
+    right = save_comparable(ws, join_table(news, text, threshold, metric, by, order), "new")
+    close = similar_rows(left, right, threshold, metric, by)
 
     # texts can repeat among old clusters; the earliest of them is the one met
     same_old = old.groupBy(*by, text).agg(F.min("id").alias("left_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.text import template_words
 from loomlog.operators.templates import rank_order, templates
-from loomlog.plans.leaders import cluster_ranked, comparable, join_table, rank
+from loomlog.plans.leaders import cluster_ranked, join_table, rank, save_comparable, spread
 from loomlog.plans.simjoin import similar_rows
 from loomlog.plans.tokens import check_metric, check_threshold, token_order, with_tokens
 from loomlog.workspace import Workspace
@@ -85,9 +85,10 @@ def similar_pairs(
     threshold, metric, by = check_threshold(threshold), check_metric(metric), list(by)
     ws = Workspace(df.sparkSession)
     texts, n = rank(ws, df.select(*by, text).distinct().orderBy(text, *by))
-    order = token_order(with_tokens(texts.select("id", text), text, metric))
-    table, n = ws.save(comparable(join_table(texts, text, threshold, metric, by, order)), "tokens")
-    pairs = similar_rows(table, table, threshold, metric, by, self_join=True, rows=(n, n))
+    wide = spread(texts, n)
+    order = token_order(with_tokens(wide, text, metric))
+    table = save_comparable(ws, join_table(wide, text, threshold, metric, by, order), "tokens")
+    pairs = similar_rows(table, table, threshold, metric, by, self_join=True)
     left = texts.select(F.col("id").alias("left_id"), F.col(text).alias("left_text"), *by)
     right = texts.select(F.col("id").alias("right_id"), F.col(text).alias("right_text"))
     return (
@@ -111,8 +112,8 @@ def cluster_templates(
     check_mode(mode)
     by = list(by)
     ws = Workspace(df.sparkSession)
-    ranked, _ = rank(ws, df.orderBy(*rank_order(by)))
-    led = cluster_ranked(ws, ranked, "normalized_text", threshold, metric, by, mode)
+    ranked, n = rank(ws, df.orderBy(*rank_order(by)))
+    led = cluster_ranked(ws, ranked, n, "normalized_text", threshold, metric, by, mode)
     rest = [c for c in df.columns if c not in by]
     membership, _ = ws.save(
         led.select(*by, F.col("id").alias("template_id"), "cluster_id", "similarity", *rest), "membership"

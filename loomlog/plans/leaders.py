@@ -21,14 +21,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.plans.simjoin import similar_rows
+from loomlog.plans.simjoin import TokenTable, similar_rows
 from loomlog.plans.tokens import token_order, with_join_keys, with_tokens
 from loomlog.workspace import Workspace
 
 # A batch of this size is resolved without counting its work first.
 FIRST_BATCH = 4096
+# Texts one task turns into token sets; the work is in the processor, not in bytes.
+TEXTS_PER_TASK = 100_000
 # Candidate pairs a batch may compare, per core of the cluster.
-PAIRS_PER_CORE = 4_000_000
+PAIRS_PER_CORE = 16_000_000
 
 
 def join_table(
@@ -39,9 +41,24 @@ def join_table(
     return with_join_keys(tokens, threshold, order, by).drop(text)
 
 
-def comparable(table: DataFrame) -> DataFrame:
-    """Drop texts that cannot reach the threshold with any other text."""
-    return table.where((F.size("short_keys") > 0) | (F.size("long_keys") > 0))
+def spread(df: DataFrame, n: int) -> DataFrame:
+    """Redistribute ``n`` texts over at least all cores. Texts are few bytes and
+    much work each, so the file layout would leave cores idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-n // TEXTS_PER_TASK)), "id")
+
+
+def save_comparable(ws: Workspace, table: DataFrame, name: str) -> TokenTable:
+    """Write a join table and keep the texts that can reach the threshold with
+    some other text.
+
+    The filter is put on the written table: in front of the write it would be
+    pushed below the token expressions and compute them again.
+    """
+    can_match = (F.size("short_keys") > 0) | (F.size("long_keys") > 0)
+    is_wide = (F.size("rest") > 0) | (F.col("b") == 0)
+    saved, seen = ws.save(table, name, live=F.count_if(can_match), wide=F.count_if(is_wide))
+    return TokenTable(saved.where(can_match), seen["live"], seen["wide"] > 0)
 
 
 def _batch_end(live: DataFrame, budget: int) -> int | None:
@@ -88,7 +105,8 @@ def absorbed(ws: Workspace, edges: DataFrame, n: int) -> DataFrame | None:
                 (F.coalesce("hi_out", F.lit(False)) | F.coalesce("lo_out", F.lit(False))).alias("done"),
             )
         )
-        saved, n = ws.save(marked, "round", live=F.count_if(~F.col("done")))
+        saved, seen = ws.save(marked, "round", live=F.count_if(~F.col("done")))
+        n = seen["live"]
         parts.append(saved.where("hi_out").select(F.col("hi").alias("id")))
         live = saved.where("not done").select("lo", "hi")
     return reduce(DataFrame.unionAll, parts).distinct() if parts else None
@@ -107,8 +125,7 @@ def _choose(pairs: DataFrame, member: str, leader: str, mode: str) -> DataFrame:
 
 def assign_members(
     ws: Workspace,
-    table: DataFrame,
-    n: int,
+    table: TokenTable,
     threshold: float,
     metric: str,
     by: Sequence[str],
@@ -118,19 +135,20 @@ def assign_members(
     whose ids are ranks. Every id that is not listed is a leader."""
     budget = PAIRS_PER_CORE * ws.spark.sparkContext.defaultParallelism
     members: list[DataFrame] = []
-    live, batches = table, 0
+    live, n, batches = table.rows, table.n, 0
     while n:
         end = None if n <= FIRST_BATCH else _batch_end(live, budget)
         batch = live if end is None else live.where(F.col("id") < end)
         size = n if end is None else batch.count()
         batches += 1
 
-        pairs = similar_rows(batch, batch, threshold, metric, by, self_join=True, rows=(size, size))
-        edges, n_edges = ws.save(
+        part = table.part(batch, size)
+        pairs = similar_rows(part, part, threshold, metric, by, self_join=True)
+        edges, seen = ws.save(
             pairs.select(F.col("left_id").alias("lo"), F.col("right_id").alias("hi"), "similarity"),
             "edges",
         )
-        out = absorbed(ws, edges, n_edges)
+        out = absorbed(ws, edges, seen["rows"])
         leaders = batch
         if out is not None:
             led = edges.join(out.select(F.col("id").alias("lo")), "lo", "left_anti")
@@ -140,19 +158,19 @@ def assign_members(
             break
 
         rest = live.where(F.col("id") >= end)
-        found = similar_rows(leaders, rest, threshold, metric, by)
-        taken, n_taken = ws.save(_choose(found, "right_id", "left_id", mode), "members")
+        found = similar_rows(table.part(leaders), table.part(rest), threshold, metric, by)
+        taken, seen = ws.save(_choose(found, "right_id", "left_id", mode), "members")
         members.append(taken)
-        n -= size + n_taken
+        n -= size + seen["rows"]
         done = reduce(DataFrame.unionAll, members).select("id")
-        live = table.where(F.col("id") >= end).join(done, "id", "left_anti")
+        live = table.rows.where(F.col("id") >= end).join(done, "id", "left_anti")
 
-    if mode == "best" and batches > 1:
+    if mode == "best" and batches > 1 and members:
         # a leader of a later batch may be closer than the one that absorbed it
         done = reduce(DataFrame.unionAll, members).select("id")
-        all_leaders = table.join(done, "id", "left_anti")
-        absorbed_rows = table.join(done, "id", "left_semi")
-        found = similar_rows(all_leaders, absorbed_rows, threshold, metric, by, left_first=True)
+        all_leaders = table.part(table.rows.join(done, "id", "left_anti"))
+        followers = table.part(table.rows.join(done, "id", "left_semi"))
+        found = similar_rows(all_leaders, followers, threshold, metric, by, left_first=True)
         members = [ws.save(_choose(found, "right_id", "left_id", mode), "members")[0]]
     return members
 
@@ -164,7 +182,8 @@ def rank(ws: Workspace, ordered: DataFrame) -> tuple[DataFrame, int]:
     one number per partition.
     """
     numbered = ordered.withColumn("_pos", F.monotonically_increasing_id())
-    saved, n = ws.save(numbered, "ranked")
+    saved, seen = ws.save(numbered, "ranked")
+    n = seen["rows"]
     part = F.shiftright("_pos", 33)
     counts = sorted(saved.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
     offsets, at = [], 0
@@ -182,6 +201,7 @@ def rank(ws: Workspace, ordered: DataFrame) -> tuple[DataFrame, int]:
 def cluster_ranked(
     ws: Workspace,
     ranked: DataFrame,
+    n: int,
     text: str,
     threshold: float,
     metric: str,
@@ -189,9 +209,10 @@ def cluster_ranked(
     mode: str,
 ) -> DataFrame:
     """Add ``cluster_id`` (the leader's id) and ``similarity`` to ranked rows."""
-    order = token_order(with_tokens(ranked.select("id", text), text, metric))
-    table, n = ws.save(comparable(join_table(ranked, text, threshold, metric, by, order)), "tokens")
-    members = assign_members(ws, table, n, threshold, metric, by, mode)
+    texts = spread(ranked.select("id", *by, text), n)
+    order = token_order(with_tokens(texts, text, metric))
+    table = save_comparable(ws, join_table(texts, text, threshold, metric, by, order), "tokens")
+    members = assign_members(ws, table, threshold, metric, by, mode)
     if not members:
         return ranked.withColumns({"cluster_id": F.col("id"), "similarity": F.lit(1.0)})
     led = reduce(DataFrame.unionAll, members)

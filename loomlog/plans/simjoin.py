@@ -9,7 +9,7 @@ meets each block of the other side exactly once, in its own task.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,23 @@ class Sizes:
     largest: int
 
 
-def _payload(df: DataFrame, keys: Column, by: Sequence[str]) -> DataFrame:
-    return df.select(F.explode(keys).alias("k"), "id", "b", "nbytes", *MASKS, "rest", *by)
+@dataclass(frozen=True)
+class TokenTable:
+    """Texts in join form (see ``tokens.with_join_keys``) with their number ``n``,
+    None if unknown. ``wide``: some text has tokens outside a-z and space, or none
+    at all; without such texts the comparison is plain bit counting."""
+
+    rows: DataFrame
+    n: int | None
+    wide: bool
+
+    def part(self, rows: DataFrame, n: int | None = None) -> TokenTable:
+        return replace(self, rows=rows, n=n)
+
+
+def _payload(table: TokenTable, wide: bool, keys: Column, by: Sequence[str]) -> DataFrame:
+    rest = ["rest"] if wide else []
+    return table.rows.select(F.explode(keys).alias("k"), "id", "b", "nbytes", *MASKS, *rest, *by)
 
 
 def _other_role(keys: str) -> Column:
@@ -88,30 +103,30 @@ def _split(rows: DataFrame, hot: DataFrame, mine: str, theirs: str) -> DataFrame
 
 
 def similar_rows(
-    left: DataFrame,
-    right: DataFrame,
+    left: TokenTable,
+    right: TokenTable,
     threshold: float,
     metric: str,
     by: Sequence[str] = (),
     self_join: bool = False,
     left_first: bool = False,
-    rows: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Pairs ``left_id, right_id, similarity`` with similarity >= threshold.
 
-    ``left`` and ``right`` come from ``with_join_keys`` and carry ``id``. In a self
-    join each unordered pair appears once, the smaller id on the left.
-    ``left_first`` keeps only pairs whose left id is the smaller. ``rows`` are the
-    known row counts; with them small joins skip the key count.
+    In a self join each unordered pair appears once, the smaller id on the left.
+    ``left_first`` keeps only pairs whose left id is the smaller. Joins known to be
+    small skip the key count.
     """
     lk, rk = _roles(self_join)
-    l, r = _payload(left, lk, by), _payload(right, rk, by)
+    wide = left.wide or right.wide
+    l, r = _payload(left, wide, lk, by), _payload(right, wide, rk, by)
     on = ["k"]
-    hint = "shuffle_hash"
-    if rows is None or rows[0] * rows[1] > SMALL_PRODUCT:
-        per_key = key_sizes(left, right, self_join)
+    hint, build_left = "shuffle_hash", True
+    if left.n is None or right.n is None or left.n * right.n > SMALL_PRODUCT:
+        per_key = key_sizes(left.rows, right.rows, self_join)
         sizes = join_sizes(per_key)
-        partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        build_left = sizes.left_rows <= sizes.right_rows
+        partitions = int(left.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         if min(sizes.left_rows, sizes.right_rows) > HASH_ROWS * partitions:
             hint = "merge"
         if sizes.largest > BLOCK_ROWS:
@@ -133,20 +148,21 @@ def similar_rows(
     for name in by:
         cond = cond & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
     if self_join:
-        cond = cond & (F.struct("l.b", "l.id") < F.struct("r.b", "r.id"))
+        shorter = F.col("l.b") < F.col("r.b")
+        cond = cond & (shorter | ((F.col("l.b") == F.col("r.b")) & (F.col("l.id") < F.col("r.id"))))
     elif left_first:
         cond = cond & (F.col("l.id") < F.col("r.id"))
     if metric == "dice_bigrams":
         ratio = F.least("l.nbytes", "r.nbytes").cast("double") / F.greatest("l.nbytes", "r.nbytes")
         cond = cond & (ratio >= F.lit(length_bound(threshold)))
-    cond = cond & (score("l", "r") >= F.lit(threshold))
+    value = score("l", "r", wide)
+    cond = cond & (value >= F.lit(threshold))
 
-    build = "l" if hint == "merge" or rows is None or rows[0] <= rows[1] else "r"
-    if build == "l":
+    if build_left:
         l = l.hint(hint)
     else:
         r = r.hint(hint)
     ids = [F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")]
     if self_join:
         ids = [F.least("l.id", "r.id").alias("left_id"), F.greatest("l.id", "r.id").alias("right_id")]
-    return l.join(r, cond).select(*ids, score("l", "r").alias("similarity")).distinct()
+    return l.join(r, cond).select(*ids, value.alias("similarity")).distinct()

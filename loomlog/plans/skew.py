@@ -49,5 +49,5 @@ def join_unique(
         return df.withColumn("_h", F.xxhash64(*on)).join(F.broadcast(hot), "_h", "left")
 
     left = blocks(big).withColumn("_block", F.pmod(F.xxhash64(spread_by), n).cast("int"))
-    right = blocks(unique).withColumn("_block", F.explode(F.sequence(F.lit(0), n - 1)).cast("int"))
+    right = blocks(unique).withColumn("_block", F.explode(F.sequence(F.lit(0), n - 1)))
     return left.drop("_h", "_n").join(right.drop("_h", "_n"), [*on, "_block"]).drop("_block")

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,9 +106,9 @@ def token_order(df: DataFrame) -> list[int]:
 
     At most 729 rows reach the driver: the count of slots, not of texts.
     """
-    seen = dict(
-        df.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1))).collect()
-    )
+    # exploding a bare column would add a size filter that tokenizes a second time
+    slot = F.explode(F.filter("slots", lambda x: x >= 0)).alias("slot")
+    seen = dict(df.select(slot).groupBy("slot").agg(F.count(F.lit(1))).collect())
     ranked = sorted(range(SLOTS), key=lambda slot: (seen.get(slot, 0), slot))
     order = [0] * SLOTS
     for position, slot in enumerate(ranked):
@@ -184,24 +186,26 @@ def with_join_keys(
     )
 
 
-def overlap(left: str, right: str) -> Column:
-    """Shared tokens of two aliased rows."""
-    bits = sum(
-        (F.bit_count(F.col(f"{left}.{m}").bitwiseAND(F.col(f"{right}.{m}"))) for m in MASKS[1:]),
-        F.bit_count(F.col(f"{left}.{MASKS[0]}").bitwiseAND(F.col(f"{right}.{MASKS[0]}"))),
+def overlap(left: str, right: str, wide: bool) -> Column:
+    """Shared tokens of two aliased rows; ``wide`` if any row has ``rest`` tokens."""
+    bits = reduce(
+        add, [F.bit_count(F.col(f"{left}.{m}").bitwiseAND(F.col(f"{right}.{m}"))) for m in MASKS]
     )
+    if not wide:
+        return bits
     l_rest, r_rest = F.col(f"{left}.rest"), F.col(f"{right}.rest")
-    wide = F.when(
+    return bits + F.when(
         (F.size(l_rest) > 0) & (F.size(r_rest) > 0), F.size(F.array_intersect(l_rest, r_rest))
     ).otherwise(0)
-    return bits + wide
 
 
-def score(left: str, right: str) -> Column:
-    """The metric's value for two aliased rows, as 2.0 * shared / (b1 + b2) in doubles."""
-    total = F.col(f"{left}.b") + F.col(f"{right}.b")
+def score(left: str, right: str, wide: bool) -> Column:
+    """The metric's value for two aliased rows, as 2.0 * shared / (b1 + b2) in
+    doubles. Only texts of wide characters can have an empty token list."""
+    lb, rb = F.col(f"{left}.b"), F.col(f"{right}.b")
+    value = F.lit(2.0) * overlap(left, right, wide) / (lb + rb)
+    if not wide:
+        return value
     return (
-        F.when(total == 0, F.lit(1.0))
-        .when((F.col(f"{left}.b") == 0) | (F.col(f"{right}.b") == 0), F.lit(0.0))
-        .otherwise(F.lit(2.0) * overlap(left, right) / total)
+        F.when((lb == 0) & (rb == 0), F.lit(1.0)).when((lb == 0) | (rb == 0), F.lit(0.0)).otherwise(value)
     )

@@ -41,12 +41,12 @@ class Workspace:
         self.path = f"{checkpoint_root(spark)}/loomlog-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str, live: Column | None = None) -> tuple[DataFrame, int]:
-        """Write ``df`` and return the written table with its row count, or with
-        the aggregate ``live`` observed during the write."""
+    def save(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+        """Write ``df``; return the written table and what was measured on the way:
+        its ``rows`` and the given aggregates."""
         self._n += 1
         target = f"{self.path}/{self._n:04d}-{name}"
         seen = Observation()
-        measure = F.count(F.lit(1)) if live is None else live
-        df.observe(seen, measure.alias("n")).write.parquet(target)
-        return self.spark.read.schema(df.schema).parquet(target), seen.get["n"]
+        measured = [F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in measures.items()]]
+        df.observe(seen, *measured).write.parquet(target)
+        return self.spark.read.schema(df.schema).parquet(target), seen.get

@@ -165,24 +165,26 @@ select a, b, round(case when len(ga) = 0 and len(gb) = 0 then 1.0::double
   else 2.0::double * len(list_intersect(ga, gb)) / (len(ga) + len(gb)) end, 6) as dice_bigrams
 from grams"""
 
-CHAR_PAIRS = ctes(
-    LINE_PAIRS,
-    "numbered as (select *, row_number() over () as pid from pairs)",
+# Common characters of each pair, counted as multisets.
+CHAR_SCORES = [
+    "numbered as materialized (select *, row_number() over () as pid from pairs)",
     "ca as (select pid, unnest(string_split(a, '')) as c from numbered)",
     "cb as (select pid, unnest(string_split(b, '')) as c from numbered)",
     "na as (select pid, c, count(*) as n from ca group by all)",
     "nb as (select pid, c, count(*) as n from cb group by all)",
     "common as (select pid, sum(least(na.n, nb.n)) as n from na join nb using (pid, c) group by pid)",
     "scored as (select a, b, 2.0::double * coalesce(n, 0) / (length(a) + length(b)) as s from numbered left join common using (pid))",
-) + "select a, b, round(s, 6) as dice_chars, s >= 0.75::double * 0.75 as char_overlap from scored"
+]
 
-SIMILARITY = ctes(LINE_PAIRS, f"grams as materialized (select a, b, {_BIG.format('a')} as ga, {_BIG.format('b')} as gb from pairs)") + """
+CHAR_PAIRS = (
+    ctes(LINE_PAIRS, *CHAR_SCORES)
+    + "select a, b, round(s, 6) as dice_chars, s >= 0.75::double * 0.75 as char_overlap from scored"
+)
+
+SIMILARITY = ctes(LINE_PAIRS, *CHAR_SCORES, f"grams as materialized (select a, b, s, {_BIG.format('a')} as ga, {_BIG.format('b')} as gb from scored)") + """
 select a, b, round(case when a = b then 1.0::double
   when least(strlen(a), strlen(b))::double / greatest(strlen(a), strlen(b)) < 0.5::double / 1.5 then 0.0::double
-  when length(a) > 15 and length(b) > 15 and strlen(a) = length(a) and strlen(b) = length(b)
-    and 2.0::double * list_sum(list_transform(string_split('abcdefghijklmnopqrstuvwxyz ', ''),
-      lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, '')))))
-      / (length(a) + length(b)) < 0.375::double then 0.0::double
+  when strlen(a) > 15 and strlen(b) > 15 and s < 0.5::double * 0.75 then 0.0::double
   else 2.0::double * len(list_intersect(ga, gb)) / (len(ga) + len(gb)) end, 6) as similarity
 from grams"""
 
@@ -346,7 +348,7 @@ from t_c order by count desc, normalized_text limit 10"""),
         LOGS, "w as (select *, time_bucket(interval '400 days', ts, timestamp '1970-01-01') as window_start from logs)",
         *clustered("w", by="window_start"), recursive=True)
     + "select cast(window_start as timestamp) as window_start, normalized_text, representative, count, occurrences, n_templates from t_c",
-    "stream_template_counts": ctes(LOGS) + f"""select time_bucket(interval '30 days', ts, timestamp '1970-01-01') as window_start,
-  {text('line')} as normalized_text, count(*) as occurrences from logs where {text('line')} <> '' group by all
-having window_start + interval '30 days' <= (select max(ts) - interval '1 day' from logs)""",
+    "stream_template_counts": ctes(LOGS, f"w as (select time_bucket(interval '30 days', ts, timestamp '1970-01-01') as window_start, {text('line')} as normalized_text from logs)") + """
+select window_start, normalized_text, count(*) as occurrences from w where normalized_text <> ''
+and window_start + interval '30 days' <= (select max(ts) - interval '1 day' from logs) group by all""",
 }
