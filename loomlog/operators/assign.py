@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from loomlog.operators.cluster import Clustering, check_mode, cluster_templates
 from loomlog.operators.templates import rank_order, templates
-from loomlog.plans.leaders import _choose, join_table, rank, save_comparable, spread
+from loomlog.plans.leaders import _choose, order_for, rank, save_comparable, tokenized
 from loomlog.plans.simjoin import similar_rows
-from loomlog.plans.tokens import check_metric, check_threshold, token_order, with_tokens
+from loomlog.plans.tokens import check_metric, check_threshold, with_join_keys
 from loomlog.workspace import Workspace
 
 
@@ -40,11 +40,11 @@ def assign_templates(
 
     old, n_old = rank(ws, clusters.select(*by, "cluster_id", text, "count").orderBy(*rank_order(by)))
     fresh, n_new = rank(ws, new.orderBy(*rank_order(by)))
-    olds = spread(old.select("id", *by, text), n_old)
-    news = spread(fresh.select("id", *by, text), n_new)
-    order = token_order(with_tokens(olds.unionAll(news), text, metric))
-    left = save_comparable(ws, join_table(olds, text, threshold, metric, by, order), "old")
-    right = save_comparable(ws, join_table(news, text, threshold, metric, by, order), "new")
+    olds = tokenized(old, n_old, text, metric, by)
+    news = tokenized(fresh, n_new, text, metric, by)
+    order = order_for(olds.unionAll(news), n_old + n_new)
+    left = save_comparable(ws, with_join_keys(olds, threshold, order, by), "old")
+    right = save_comparable(ws, with_join_keys(news, threshold, order, by), "new")
     close = similar_rows(left, right, threshold, metric, by)
 
     # texts can repeat among old clusters; the earliest of them is the one met

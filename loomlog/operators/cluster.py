@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.text import template_words
 from loomlog.operators.templates import rank_order, templates
-from loomlog.plans.leaders import cluster_ranked, join_table, rank, save_comparable, spread
+from loomlog.plans.leaders import cluster_ranked, order_for, rank, save_comparable, tokenized
 from loomlog.plans.simjoin import similar_rows
-from loomlog.plans.tokens import check_metric, check_threshold, token_order, with_tokens
+from loomlog.plans.tokens import check_metric, check_threshold, with_join_keys
 from loomlog.workspace import Workspace
 
 MODES = ("first", "best")
@@ -85,9 +85,8 @@ def similar_pairs(
     threshold, metric, by = check_threshold(threshold), check_metric(metric), list(by)
     ws = Workspace(df.sparkSession)
     texts, n = rank(ws, df.select(*by, text).distinct().orderBy(text, *by))
-    wide = spread(texts, n)
-    order = token_order(with_tokens(wide, text, metric))
-    table = save_comparable(ws, join_table(wide, text, threshold, metric, by, order), "tokens")
+    tokens = tokenized(texts, n, text, metric, by)
+    table = save_comparable(ws, with_join_keys(tokens, threshold, order_for(tokens, n), by), "tokens")
     pairs = similar_rows(table, table, threshold, metric, by, self_join=True)
     left = texts.select(F.col("id").alias("left_id"), F.col(text).alias("left_text"), *by)
     right = texts.select(F.col("id").alias("right_id"), F.col(text).alias("right_text"))

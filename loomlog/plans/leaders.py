@@ -22,30 +22,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.plans.simjoin import TokenTable, similar_rows
-from loomlog.plans.tokens import token_order, with_join_keys, with_tokens
+from loomlog.plans.tokens import SLOTS, token_order, with_join_keys, with_tokens
 from loomlog.workspace import Workspace
 
 # A batch of this size is resolved without counting its work first.
 FIRST_BATCH = 4096
+# Up to this many texts, every pair is cheaper than any preparation.
+FEW_TEXTS = 500
 # Texts one task turns into token sets; the work is in the processor, not in bytes.
 TEXTS_PER_TASK = 100_000
 # Candidate pairs a batch may compare, per core of the cluster.
-PAIRS_PER_CORE = 16_000_000
+PAIRS_PER_CORE = 4_000_000
 
 
-def join_table(
-    df: DataFrame, text: str, threshold: float, metric: str, by: Sequence[str], order: list[int]
-) -> DataFrame:
-    """``id, by`` plus token sets and join keys of ``text``."""
-    tokens = with_tokens(df.select("id", *by, text), text, metric)
-    return with_join_keys(tokens, threshold, order, by).drop(text)
+def tokenized(df: DataFrame, n: int, text: str, metric: str, by: Sequence[str]) -> DataFrame:
+    """``id, by`` and the token sets of ``n`` texts, spread over at least all
+    cores: texts are few bytes and much work each, so the file layout would leave
+    cores idle."""
+    texts = df.select("id", *by, text)
+    if n > FEW_TEXTS:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        texts = texts.repartition(max(cores, -(-n // TEXTS_PER_TASK)), "id")
+    return with_tokens(texts, text, metric).drop(text)
 
 
-def spread(df: DataFrame, n: int) -> DataFrame:
-    """Redistribute ``n`` texts over at least all cores. Texts are few bytes and
-    much work each, so the file layout would leave cores idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, -(-n // TEXTS_PER_TASK)), "id")
+def order_for(tokens: DataFrame, n: int) -> list[int]:
+    """Rarest-first token order; any order is correct, so few texts skip the count."""
+    return token_order(tokens) if n > FEW_TEXTS else list(range(SLOTS))
 
 
 def save_comparable(ws: Workspace, table: DataFrame, name: str) -> TokenTable:
@@ -152,7 +155,9 @@ def assign_members(
         leaders = batch
         if out is not None:
             led = edges.join(out.select(F.col("id").alias("lo")), "lo", "left_anti")
-            members.append(ws.save(_choose(led, "hi", "lo", mode), "members")[0])
+            chosen = _choose(led, "hi", "lo", mode)
+            # a single batch is read once, by the caller
+            members.append(chosen if end is None else ws.save(chosen, "members")[0])
             leaders = batch.join(out, "id", "left_anti")
         if end is None:
             break
@@ -182,17 +187,17 @@ def rank(ws: Workspace, ordered: DataFrame) -> tuple[DataFrame, int]:
     one number per partition.
     """
     numbered = ordered.withColumn("_pos", F.monotonically_increasing_id())
-    saved, seen = ws.save(numbered, "ranked")
-    n = seen["rows"]
     part = F.shiftright("_pos", 33)
+    saved, seen = ws.save(numbered, "ranked", lo=F.min(part), hi=F.max(part))
+    n = seen["rows"]
+    if seen["lo"] == seen["hi"]:
+        start = (seen["lo"] or 0) << 33
+        return saved.select((F.col("_pos") - start).alias("id"), *ordered.columns), n
     counts = sorted(saved.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
     offsets, at = [], 0
     for p, rows in counts:
         offsets.append((p, at - (p << 33)))
         at += rows
-    if len(offsets) <= 1:
-        shift = F.lit(offsets[0][1] if offsets else 0)
-        return saved.select((F.col("_pos") + shift).alias("id"), *ordered.columns), n
     table = ws.spark.createDataFrame(offsets, "_p bigint, _shift bigint")
     joined = saved.withColumn("_p", part).join(F.broadcast(table), "_p")
     return joined.select((F.col("_pos") + F.col("_shift")).alias("id"), *ordered.columns), n
@@ -209,9 +214,9 @@ def cluster_ranked(
     mode: str,
 ) -> DataFrame:
     """Add ``cluster_id`` (the leader's id) and ``similarity`` to ranked rows."""
-    texts = spread(ranked.select("id", *by, text), n)
-    order = token_order(with_tokens(texts, text, metric))
-    table = save_comparable(ws, join_table(texts, text, threshold, metric, by, order), "tokens")
+    tokens = tokenized(ranked, n, text, metric, by)
+    keyed = with_join_keys(tokens, threshold, order_for(tokens, n), by)
+    table = save_comparable(ws, keyed, "tokens")
     members = assign_members(ws, table, threshold, metric, by, mode)
     if not members:
         return ranked.withColumns({"cluster_id": F.col("id"), "similarity": F.lit(1.0)})
