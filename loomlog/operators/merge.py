@@ -28,14 +28,14 @@ class ClusterSet:
     sources: DataFrame
 
     @staticmethod
-    def of(result: Clustering, df: DataFrame) -> ClusterSet:
+    def of(result: Clustering, df: DataFrame, lines: DataFrame | None = None) -> ClusterSet:
         """All lines and sources of a clustering of ``df`` (clustered without
-        groups)."""
+        groups); ``lines`` are its distinct lines, if already written."""
         if result.by:
             raise ValueError("a cluster set has no group columns; filter one group first")
         return ClusterSet(
             result.clusters.select("cluster_id", "representative", "normalized_text", "words", "count"),
-            summary.members(result, df).select("cluster_id", "line"),
+            summary.members(result, df if lines is None else lines).select("cluster_id", "line"),
             summary.sources(result, df).select("cluster_id", *SOURCE),
         )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from loomlog.functions.text import with_template
 from loomlog.operators.cluster import Clustering
-from loomlog.operators.templates import distinct_lines
+from loomlog.operators.templates import as_lines
 from loomlog.plans.leaders import rank
 from loomlog.plans.skew import join_unique
 from loomlog.sources.logs import SOURCE
@@ -31,9 +31,9 @@ def take_per_cluster(members: DataFrame, limit: int, by: tuple[str, ...] = ()) -
 
 def members(result: Clustering, df: DataFrame, limit: int = 0) -> DataFrame:
     """Distinct lines of each cluster as a relation ``by, cluster_id, line,
-    occurrences``; ``df`` is the relation that was clustered."""
+    occurrences``; ``df`` is the relation that was clustered, or its distinct lines."""
     by = list(result.by)
-    lines = distinct_lines(df, result.word_filter, by).select(
+    lines = as_lines(df, result.word_filter, by).select(
         *by, "normalized_text", "line", "occurrences"
     )
     total = result.membership.agg(F.sum("count")).head()[0] or 0
@@ -48,8 +48,9 @@ def sources(result: Clustering, df: DataFrame) -> DataFrame:
     """Distinct sources of each cluster with their line counts: ``by, cluster_id,
     namespace, pod, container, occurrences``.
 
-    Lines are reduced to (template, source) counts per map task before anything
-    moves.
+    ``df`` is the clustered relation. Lines are reduced to (template, source)
+    counts per map task before anything moves, so a template has at most one row
+    per container of the fleet when it meets its cluster.
     """
     by = list(result.by)
     own = [c for c in SOURCE if c not in by]

@@ -32,6 +32,16 @@ def distinct_lines(df: DataFrame, word_filter: bool = True, by: Sequence[str] =
     return with_template(df.groupBy(*by, "line").agg(*aggs), word_filter)
 
 
+def as_lines(df: DataFrame, word_filter: bool, by: Sequence[str]) -> DataFrame:
+    """``df`` if it is already the outcome of :func:`distinct_lines`, else that.
+
+    Lines are the one large shuffle; who clusters them and lists members can write
+    the distinct lines once and pass them to both.
+    """
+    made = {"line", "normalized_text", "occurrences", *by} <= set(df.columns)
+    return df if made else distinct_lines(df, word_filter, by)
+
+
 def templates_of(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Templates of :func:`distinct_lines`: ``by, normalized_text, count,
     occurrences, representative``.
@@ -50,8 +60,9 @@ def templates_of(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def templates(df: DataFrame, word_filter: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct template text of the lines in ``df``."""
-    return templates_of(distinct_lines(df, word_filter, by), by)
+    """One row per distinct template text of the lines in ``df``, raw or distinct
+    (see :func:`as_lines`)."""
+    return templates_of(as_lines(df, word_filter, by), by)
 
 
 def rank_order(by: Sequence[str] = ()) -> list:

@@ -26,6 +26,10 @@ def text(line: str, word_filter: bool = True) -> str:
     return f"array_to_string({words(line, word_filter)}, ' ')"
 
 
+# Document lines with the optional time column.
+DOCS = (f"doc_lines as ({DOC_LINES_SQL})", "d as (select *, null::timestamp as ts from doc_lines)")
+
+
 def ctes(*parts: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}" + ",\n".join(parts) + "\n"
 
@@ -133,9 +137,9 @@ def clustered(
     ]
 
 
-def membership(by: str = "", **options) -> str:
+def membership(by: str = "", base: tuple[str, ...] = (LOGS,), **options) -> str:
     g = f"m.{by}, " if by else ""
-    return ctes(LOGS, *clustered(by=by, **options), recursive=True) + f"""
+    return ctes(*base, *clustered(by=by, **options), recursive=True) + f"""
 select {g}m.normalized_text, h.normalized_text as leader_text, round(m.similarity, 6) as similarity, m.count
 from t_m m join t h on h.id = m.leader"""
 
@@ -144,8 +148,10 @@ def cluster_query(final: str, **options) -> str:
     return ctes(LOGS, *clustered(**options), recursive=True) + final
 
 
-def pairs_query(t: float, metric: str = "dice_bigrams") -> str:
-    return ctes(LOGS, *templated("logs"), *edges(t, metric=metric)) + """
+def pairs_query(
+    t: float, metric: str = "dice_bigrams", base: tuple[str, ...] = (LOGS,), view: str = "logs"
+) -> str:
+    return ctes(*base, *templated(view), *edges(t, metric=metric)) + """
 select least(a.normalized_text, b.normalized_text) as left_text,
   greatest(a.normalized_text, b.normalized_text) as right_text, round(e.similarity, 6) as similarity
 from t_e e join t a on a.id = e.lo join t b on b.id = e.hi"""
@@ -293,10 +299,8 @@ where {text('line')} <> '' group by all""",
   union all select 'docs', line from doc_lines) where {text('line')} <> '' group by namespace""",
     "missing_sources": ctes(LOGS) + """select 'no log lines' as error, 'pod: ' || pod || ', container: ' || container as location,
   '2024-02-01T00:00:00+00:00' as timestamp from (
-  select distinct r.r_name as namespace, 'supplier-' || cast(s.s_suppkey as varchar) as pod, p.p_brand as container
-  from supplier s join nation n on s.s_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey
-  cross join (select distinct p_brand from part) p
-  except select namespace, pod, container from logs where line like 'ERROR%')""",
+  select distinct namespace, pod, container from logs
+  except select namespace, pod, container from logs where contains(lower(line), 'error:'))""",
     "words_filtered": ctes(DOC_LINES) + f"select w as word, count(*) as n from (select unnest({words('line')}) as w from doc_lines) group by w",
     "words_unfiltered": ctes(DOC_LINES) + f"select w as word, count(*) as n from (select unnest({words('line', False)}) as w from doc_lines) group by w",
     "nonsense_tokens": f"select w as token, {NONSENSE} as nonsense, count(*) as n from (select unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as w from documents) group by all",
@@ -309,11 +313,14 @@ select bigram, count(*) as n from (select unnest(list_transform(range(1, length(
     "char_dice_pairs": CHAR_PAIRS,
     "similarity_pairs": SIMILARITY,
     "exact_templates": ctes(LOGS, *templated("logs")) + "select normalized_text, count, occurrences, representative from t",
-    "exact_templates_docs": ctes(DOC_LINES, "d as (select *, null::timestamp as ts from doc_lines)", *templated("d", by="namespace", word_filter=False))
+    "exact_templates_docs": ctes(*DOCS, *templated("d", by="namespace", word_filter=False))
     + "select namespace, normalized_text, count, occurrences, representative from t",
     "similar_pairs_75": pairs_query(0.75),
     "similar_pairs_60": pairs_query(0.6),
     "similar_pairs_chars_90": pairs_query(0.9, "dice_chars"),
+    "similar_pairs_docs_75": pairs_query(0.75, base=DOCS, view="d"),
+    "cluster_docs_75": membership(base=DOCS, view="d"),
+    "cluster_docs_by_language": membership(base=DOCS, view="d", t=0.6, by="namespace", word_filter=False),
     "cluster_first_75": membership(),
     "cluster_best_75": membership(mode="best"),
     "cluster_first_60": membership(t=0.6),

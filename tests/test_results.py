@@ -3,6 +3,8 @@ import loomlog.plans.skew as K
 import pytest
 from loomlog import sinks
 from loomlog.functions import text as T
+from loomlog.operators import summary
+from loomlog.workspace import Workspace, checkpoint_root
 from pyspark.sql import functions as F
 from tests import log_generators as G
 
@@ -39,12 +41,28 @@ def test_counts_members_sources(base):
         L.members(result, df, -1)
 
 
+def test_distinct_lines_can_be_reused(base):
+    result, df = base
+    lines = L.distinct_lines(df)
+    again = L.cluster(lines, 0.7)
+    cols = ["normalized_text", "count", "occurrences", "representative"]
+    assert {tuple(r) for r in again.clusters.select(*cols).collect()} == {tuple(r) for r in result.clusters.select(*cols).collect()}
+    assert {tuple(r) for r in L.members(result, lines).collect()} == {tuple(r) for r in L.members(result, df).collect()}
+
+
+def test_checkpoint_folder(spark):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    assert Workspace(spark).path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Elsewhere)
+
+
 def test_hot_template_is_split(base, monkeypatch):
     result, df = base
     want = {tuple(r) for r in L.members(result, df).collect()}
-    monkeypatch.setattr(K, "ROWS_PER_TASK", 1)
-    from loomlog.operators import summary
-
     monkeypatch.setattr(summary, "join_unique", lambda *a, **k: K.join_unique(*a, rows_per_task=1, **k))
     assert {tuple(r) for r in L.members(result, df).collect()} == want
 
