@@ -13,6 +13,7 @@ BASE = "2024-01-01 00:00:00"
 NAMESPACES = ["default", "kube-system", "monitoring", "app-prod", "app-staging"]
 SERVICES = ["web-server", "api-gateway", "database", "cache", "worker", "scheduler"]
 
+# The message shapes of the bench input.
 # {n:lo-hi} is a number, {a|b|c} one of the words.
 PATTERNS = [
     "ERROR: Connection timeout to database server db-{n:1-5}:{n:3000-9000} after {n:100-5000}ms",
