@@ -70,8 +70,8 @@ def _batch_end(live: DataFrame, budget: int) -> int | None:
     ends = [lo + FIRST_BATCH]
     while ends[-1] <= hi:
         ends.append(lo + 2 * (ends[-1] - lo))
-    keys = live.select("id", F.explode("short_keys").alias("k"), F.lit(True).alias("short")).unionAll(
-        live.select("id", F.explode("long_keys").alias("k"), F.lit(False).alias("short"))
+    keys = live.select("id", F.explode("short_keys.k").alias("k"), F.lit(True).alias("short")).unionAll(
+        live.select("id", F.explode("long_keys.k").alias("k"), F.lit(False).alias("short"))
     )
     below = [F.col("id") < end for end in ends]
     per_key = keys.groupBy("k").agg(

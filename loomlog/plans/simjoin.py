@@ -2,7 +2,7 @@
 
 Both sides are exploded to (key, token set) rows and meet in an equi-join on the
 key, with the similarity test as the join condition, so a pair that fails is never
-emitted. A key that many texts share is cut into blocks on both sides; each block
+emitted, and one that shares several keys is tested under the first of them only. A key that many texts share is cut into blocks on both sides; each block
 meets each block of the other side exactly once, in its own task.
 """
 
@@ -10,21 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.similarity import length_bound
-from loomlog.plans.tokens import MASKS, score
+from loomlog.plans.skew import hot_list
+from loomlog.plans.tokens import MASKS, first_shared, score
 
 # Rows of one key that a single task may hold from one side.
 BLOCK_ROWS = 20_000
-# At most this many keys are ever listed as hot and broadcast.
-MAX_HOT_KEYS = 20_000
 # Below this product of row counts no key can be worth splitting.
 SMALL_PRODUCT = 50_000_000
-# Exploded rows per shuffle partition up to which a hash table is safe.
-HASH_ROWS = 400_000
+# Bytes of a join row without its wide tokens, and of one task's hash table.
+ROW_BYTES, HASH_BYTES = 180, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -51,33 +51,33 @@ class TokenTable:
         return replace(self, rows=rows, n=n)
 
 
-def _payload(table: TokenTable, wide: bool, keys: Column, by: Sequence[str]) -> DataFrame:
+def _payload(table: TokenTable, wide: bool, roles: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """A row per key, with the place ``p`` of its token; ``longer`` if the text takes
+    the longer part of a pair under this key."""
     rest = ["rest"] if wide else []
-    return table.rows.select(F.explode(keys).alias("k"), "id", "b", "nbytes", *MASKS, *rest, *by)
+    rows = []
+    for role in roles:
+        key = F.explode(role).alias("_k")
+        own = table.rows.select(key, "id", "b", "nbytes", *MASKS, *rest, *by)
+        rows.append(own.select(F.col("_k.k").alias("k"), F.col("_k.p").alias("p"), F.lit(role == "long_keys").alias("longer"), *own.columns[1:]))
+    return rows[0] if len(rows) == 1 else rows[0].unionAll(rows[1])
 
 
-def _other_role(keys: str) -> Column:
-    """Keys of the second role live in their own key space."""
-    return F.transform(keys, lambda k: F.bitwise_not(k))
-
-
-def _roles(self_join: bool) -> tuple[Column, Column]:
+def _roles(self_join: bool) -> tuple[tuple[str, ...], tuple[str, ...]]:
     if self_join:
-        return F.col("short_keys"), F.col("long_keys")
-    return (
-        F.concat("short_keys", _other_role("long_keys")),
-        F.concat("long_keys", _other_role("short_keys")),
-    )
+        return ("short_keys",), ("long_keys",)
+    return ("short_keys", "long_keys"), ("long_keys", "short_keys")
 
 
 def key_sizes(left: DataFrame, right: DataFrame, self_join: bool) -> DataFrame:
-    """Rows per key on both sides: ``k, nl, nr``, aggregated before the shuffle."""
-    lk, rk = _roles(self_join)
-    one, none = F.lit(1).alias("l"), F.lit(0).alias("l")
-    both = left.select(F.explode(lk).alias("k"), one).unionAll(
-        right.select(F.explode(rk).alias("k"), none)
-    )
-    return both.groupBy("k").agg(F.sum("l").alias("nl"), F.sum(1 - F.col("l")).alias("nr"))
+    """Rows per key on both sides: ``k, turn, nl, nr``, aggregated before the shuffle.
+    ``turn`` tells the two ways apart in which left and right texts can meet."""
+    parts = []
+    for turn, roles in enumerate(zip(*_roles(self_join))):
+        for side, role, rows in zip((1, 0), roles, (left, right)):
+            parts.append(rows.select(F.explode(f"{role}.k").alias("k"), F.lit(turn).alias("turn"), F.lit(side).alias("l")))
+    both = reduce(DataFrame.unionAll, parts)
+    return both.groupBy("k", "turn").agg(F.sum("l").alias("nl"), F.sum(1 - F.col("l")).alias("nr"))
 
 
 def join_sizes(sizes: DataFrame) -> Sizes:
@@ -92,7 +92,7 @@ def join_sizes(sizes: DataFrame) -> Sizes:
 
 def _split(rows: DataFrame, hot: DataFrame, mine: str, theirs: str) -> DataFrame:
     """Give each row its own block number and one copy per block it must meet."""
-    r = rows.join(F.broadcast(hot), "k", "left")
+    r = rows.join(hot, "k", "left")
     mine_n = F.coalesce(F.col(mine), F.lit(1))
     theirs_n = F.coalesce(F.col(theirs), F.lit(1))
     return (
@@ -117,27 +117,25 @@ def similar_rows(
     ``left_first`` keeps only pairs whose left id is the smaller. Joins known to be
     small skip the key count.
     """
-    lk, rk = _roles(self_join)
     wide = left.wide or right.wide
-    l, r = _payload(left, wide, lk, by), _payload(right, wide, rk, by)
-    on = ["k"]
-    hint, build_left = "shuffle_hash", True
-    if left.n is None or right.n is None or left.n * right.n > SMALL_PRODUCT:
+    l_roles, r_roles = _roles(self_join)
+    l, r = _payload(left, wide, l_roles, by), _payload(right, wide, r_roles, by)
+    on = ["k", "p"]
+    known = left.n is not None and right.n is not None
+    hint, build_left = "shuffle_hash", known and left.n <= right.n
+    if not known or left.n * right.n > SMALL_PRODUCT:
         per_key = key_sizes(left.rows, right.rows, self_join)
         sizes = join_sizes(per_key)
         build_left = sizes.left_rows <= sizes.right_rows
         partitions = int(left.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if min(sizes.left_rows, sizes.right_rows) > HASH_ROWS * partitions:
+        # the smaller side's average partition, and its largest key on top
+        small = min(sizes.left_rows, sizes.right_rows) / partitions + min(sizes.largest, BLOCK_ROWS)
+        if small * ROW_BYTES > HASH_BYTES:
             hint = "merge"
         if sizes.largest > BLOCK_ROWS:
-            # the listed keys each own more than `limit` rows, so there are at
-            # most MAX_HOT_KEYS of them per side
-            limit = max(BLOCK_ROWS, (sizes.left_rows + sizes.right_rows) // MAX_HOT_KEYS)
-            hot = per_key.where(F.greatest("nl", "nr") > limit).select(
-                "k",
-                F.ceil(F.col("nl") / BLOCK_ROWS).cast("int").alias("lb"),
-                F.ceil(F.col("nr") / BLOCK_ROWS).cast("int").alias("rb"),
-            ).withColumn("lb", F.greatest("lb", F.lit(1))).withColumn("rb", F.greatest("rb", F.lit(1)))
+            blocks = lambda n: F.greatest(F.max(F.ceil(F.col(n) / BLOCK_ROWS)).cast("int"), F.lit(1))
+            hot = per_key.where(F.greatest("nl", "nr") > BLOCK_ROWS)
+            hot = hot_list(hot.groupBy("k").agg(blocks("nl").alias("lb"), blocks("nr").alias("rb")))
             l, r = _split(l, hot, "lb", "rb"), _split(r, hot, "rb", "lb")
             on += ["lb", "rb"]
 
@@ -150,11 +148,18 @@ def similar_rows(
     if self_join:
         shorter = F.col("l.b") < F.col("r.b")
         cond = cond & (shorter | ((F.col("l.b") == F.col("r.b")) & (F.col("l.id") < F.col("r.id"))))
-    elif left_first:
-        cond = cond & (F.col("l.id") < F.col("r.id"))
+    else:
+        # the pair meets in one turn only: the left text is the longer one, or it is not
+        cond = cond & (F.col("l.longer") == ~F.col("r.longer"))
+        cond = cond & (F.col("l.longer") == (F.col("l.b") > F.col("r.b")))
+        if left_first:
+            cond = cond & (F.col("l.id") < F.col("r.id"))
     if metric == "dice_bigrams":
         ratio = F.least("l.nbytes", "r.nbytes").cast("double") / F.greatest("l.nbytes", "r.nbytes")
         cond = cond & (ratio >= F.lit(length_bound(threshold)))
+    # a pair is looked at under the first token that it shares, so it comes out once
+    first = first_shared("l", "r", wide)
+    cond = cond & (F.coalesce(first, F.lit(-1).cast("bigint")) == F.col("l.p"))
     value = score("l", "r", wide)
     cond = cond & (value >= F.lit(threshold))
 
@@ -165,4 +170,4 @@ def similar_rows(
     ids = [F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")]
     if self_join:
         ids = [F.least("l.id", "r.id").alias("left_id"), F.greatest("l.id", "r.id").alias("right_id")]
-    return l.join(r, cond).select(*ids, value.alias("similarity")).distinct()
+    return l.join(r, cond).select(*ids, value.alias("similarity"))

@@ -124,12 +124,12 @@ def required_overlap(threshold: float, b: Column, partner_longer: bool) -> Colum
 
 
 def _masks() -> Column:
-    """The slots as an array of bit words."""
+    """The slots as an array of bit words, the rarest slot in the lowest bit."""
 
     def word(i: Column) -> Column:
-        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x % 64)
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 64).cast("int"))
         return F.aggregate(
-            F.filter("slots", lambda x: F.floor(x / 64) == i),
+            F.filter("_ranked", lambda x: F.floor(x / 64) == i),
             F.lit(0).cast("bigint"),
             lambda acc, x: acc.bitwiseOR(bit(x)),
         )
@@ -153,13 +153,14 @@ def with_join_keys(
     of those (prefix filtering: Chaudhuri et al. 2006, Xiao et al. 2008). In a
     pair the shorter text uses ``short_keys`` and the longer ``long_keys``: a text
     whose partner is no shorter needs more overlap, hence fewer keys. A key also
-    holds the length bucket and the group columns. Empty arrays mean the text
-    cannot match any other text in that role.
+    holds the length bucket and the group columns, and comes with the place ``p`` of
+    its token in the order. Empty arrays mean the text cannot match any other text in
+    that role.
     """
     position = F.expr(f"array({','.join(map(str, order))})")
     ranked = F.array_sort(
         F.concat(
-            F.transform("rest", lambda r: -1 - F.xxhash64(r).bitwiseAND((1 << 62) - 1)),
+            F.transform("rest", rest_place),
             F.transform("slots", lambda x: F.element_at(position, x + 1).cast("bigint")),
         )
     )
@@ -172,12 +173,14 @@ def with_join_keys(
         )
 
     def keys(tokens: str, bucket: Column) -> Column:
-        return F.transform(tokens, lambda tok: F.xxhash64(*by, bucket, tok))
+        return F.transform(
+            tokens, lambda tok: F.struct(F.xxhash64(*by, bucket, tok).alias("k"), tok.alias("p"))
+        )
 
     g = F.col("_g")
     kept = [F.col(c) for c in df.columns if c != "slots"]
-    staged = df.withColumns({"_ranked": ranked, "_g": _length_bucket(threshold), "_masks": _masks()})
-    staged = staged.withColumns({"_short": prefix(True), "_long": prefix(False)})
+    staged = df.withColumns({"_ranked": ranked, "_g": _length_bucket(threshold)})
+    staged = staged.withColumns({"_short": prefix(True), "_long": prefix(False), "_masks": _masks()})
     return staged.select(
         *kept,
         keys("_short", g).alias("short_keys"),
@@ -186,6 +189,32 @@ def with_join_keys(
     )
 
 
+def first_shared(left: str, right: str, wide: bool) -> Column:
+    """Place of the rarest token that two aliased rows share, null if none.
+
+    Both prefixes hold all tokens before their own last one, so the first token that
+    two prefixes share is the first that the texts share.
+    """
+    first = F.lit(None).cast("bigint")
+    for i, m in reversed(list(enumerate(MASKS))):
+        both = F.col(f"{left}.{m}").bitwiseAND(F.col(f"{right}.{m}"))
+        below = F.bit_count(F.bitwise_not(both).bitwiseAND(both - F.lit(1).cast("bigint"))).cast("bigint") + 64 * i
+        alone = F.lit(-(1 << 63))  # only the highest bit, from which 1 cannot be taken
+        first = F.when(both == alone, F.lit(64 * i + 63).cast("bigint")).when(both != 0, below).otherwise(first)
+    if not wide:
+        return first
+    l_rest, r_rest = F.col(f"{left}.rest"), F.col(f"{right}.rest")
+    places = F.transform(F.array_intersect(l_rest, r_rest), rest_place)
+    return F.when(
+        (F.size(l_rest) > 0) & (F.size(r_rest) > 0), F.coalesce(F.array_min(places), first)
+    ).otherwise(first)
+
+
+def rest_place(token: Column) -> Column:
+    """Tokens without a slot come before all slots, in the order of their hashes."""
+    return -1 - F.xxhash64(token).bitwiseAND((1 << 62) - 1)
+
+
 def overlap(left: str, right: str, wide: bool) -> Column:
     """Shared tokens of two aliased rows; ``wide`` if any row has ``rest`` tokens."""
     bits = reduce(

@@ -1,36 +1,52 @@
 """Written intermediate tables.
 
-The clustering loop cuts its lineage by writing small relations (templates,
-edges, memberships) as parquet in the cluster's shared checkpoint folder. A lost
-executor therefore costs a task retry, never a restart of the loop.
+Loops cut their lineage by writing small relations (templates, edges, memberships) as
+parquet in the cluster's shared checkpoint folder. A lost executor therefore costs a
+task retry, never a restart of the loop.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_checked: set[tuple[str, str]] = set()
+
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir`` or set on the context.
-
-    Only a local session may fall back to a temporary folder; on a cluster a
-    missing setting is an error, since a machine-local folder would not survive.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomlog-"))
-    return sc.getCheckpointDir().rstrip("/")
+    """The folder named by ``spark.checkpoint.dir``, else the one set on the context,
+    else the warehouse; with a ``file:`` folder, executors elsewhere are tried out first."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    app = (spark.sparkContext.applicationId, root)
+    if app not in _checked:
+        if (root.startswith("file:") or "://" not in root) and _executors_elsewhere(spark):
+            _try_out(spark, root)
+        _checked.add(app)
+    return root
+
+
+def _executors_elsewhere(spark: SparkSession) -> bool:
+    """Whether an executor runs on another machine than the driver."""
+    context = spark.sparkContext._jsc.sc()
+    infos = context.statusTracker().getExecutorInfos()
+    driver = spark.conf.get("spark.driver.host", "")
+    return any(info.host() not in (driver, "localhost", "127.0.0.1") for info in infos)
+
+
+def _try_out(spark: SparkSession, root: str) -> None:
+    """Raise if the driver does not see what executors write, or the other way round."""
+    n = 4 * spark.sparkContext.defaultParallelism
+    target = f"{root}/loomlog-try-{uuid.uuid4().hex}"
+    try:
+        spark.range(0, n, 1, n).write.parquet(target)
+        seen = spark.read.schema("id long").parquet(target).count()
+    except Exception as e:  # whatever the file system says about a folder that is not there
+        raise RuntimeError(f"{root} is not shared by all executors; set spark.checkpoint.dir") from e
+    if seen != n:
+        raise RuntimeError(f"{root} is not shared by all executors; set spark.checkpoint.dir")
 
 
 class Workspace:
@@ -50,3 +66,12 @@ class Workspace:
         measured = [F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in measures.items()]]
         df.observe(seen, *measured).write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target), seen.get
+
+    def close(self, *tables: DataFrame) -> None:
+        """Delete written tables that nothing reads any more, or all of them."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        paths = {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()} if tables else {self.path}
+        for path in paths:
+            if self.path.split("/loomlog-")[-1] in path:
+                where = hadoop(path)
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

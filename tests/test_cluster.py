@@ -62,7 +62,7 @@ def test_split_keys_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(J, "SMALL_PRODUCT", 0)
     monkeypatch.setattr(J, "BLOCK_ROWS", 3)
     assert {tuple(r) for r in similar_pairs(df, 0.6).collect()} == want
-    monkeypatch.setattr(J, "HASH_ROWS", 0)
+    monkeypatch.setattr(J, "HASH_BYTES", 0)
     assert {tuple(r) for r in similar_pairs(df, 0.6).collect()} == want
 
 
