@@ -1,6 +1,6 @@
 """Log line clustering on Spark."""
 
-from loomlog.analyze import analyze, select_lines
+from loomlog.analyze import Analysis, analyze, select_lines
 from loomlog.operators.assign import assign_templates, assign_to
 from loomlog.operators.cluster import Clustering, cluster, cluster_templates, similar_pairs
 from loomlog.operators.filters import contains_any, filter_contains_any, filter_stats, input_stats
@@ -14,12 +14,12 @@ from loomlog.operators.summary import (
     sources,
     top_clusters,
 )
-from loomlog.operators.templates import distinct_lines, templates
-from loomlog.streaming.template_counts import cluster_by_window, template_counts_stream
+from loomlog.operators.templates import DistinctLines, distinct_lines, templates
+from loomlog.streaming.template_counts import cluster_by_window, counts_to_end, template_counts_stream
 
 __all__ = [
-    "ClusterSet", "Clustering", "analyze", "assign_templates", "assign_to", "cluster",
-    "cluster_by_window", "cluster_stats", "cluster_templates", "contains_any", "distinct_lines",
+    "Analysis", "ClusterSet", "Clustering", "DistinctLines", "analyze", "assign_templates", "assign_to", "cluster",
+    "cluster_by_window", "cluster_stats", "cluster_templates", "contains_any", "counts_to_end", "distinct_lines",
     "filter_contains_any", "filter_stats", "input_stats", "members", "merge_clusters",
     "ranked_clusters", "rare_clusters", "report", "select_lines", "similar_pairs", "sources",
     "template_counts_stream", "templates", "top_clusters",

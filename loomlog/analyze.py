@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
 from loomlog.operators.cluster import Clustering, cluster
 from loomlog.operators.filters import filter_contains_any
-from loomlog.sources.logs import filter_labels, filter_namespace, filter_since
+from loomlog.sources.logs import ERROR_SCHEMA, filter_labels, filter_namespace, filter_since, ingest_errors
+
+
+class Analysis(NamedTuple):
+    """A clustering, the lines it was made of (which ``sources`` and ``report`` take as
+    input), and error rows, which ``write_json`` takes."""
+
+    clustering: Clustering
+    lines: DataFrame
+    errors: DataFrame
 
 
 def select_lines(
@@ -39,10 +49,18 @@ def analyze(
     mode: str = "first",
     metric: str = "dice_bigrams",
     by: Sequence[str] = (),
+    expected: DataFrame | None = None,
+    errors: DataFrame | None = None,
     **selection,
-) -> tuple[Clustering, DataFrame]:
-    """Select lines and cluster them. Returns the clustering and the selected
-    lines, which ``members``, ``sources`` and ``report`` take as input."""
+) -> Analysis:
+    """Select lines and cluster them.
+
+    ``errors`` are error rows of reading the lines; sources of ``expected`` without any
+    line in ``df`` are added to them.
+    """
     lines = select_lines(df, **selection)
     result = cluster(lines, threshold, mode=mode, metric=metric, by=by, word_filter=word_filter)
-    return result, lines
+    found = errors if errors is not None else df.sparkSession.createDataFrame([], ERROR_SCHEMA)
+    if expected is not None:
+        found = found.select(*ERROR_SCHEMA.names).unionAll(ingest_errors(expected, df, selection.get("now")))
+    return Analysis(result, lines, found)

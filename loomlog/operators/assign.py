@@ -12,6 +12,7 @@ from loomlog.operators.cluster import Clustering, check_mode, cluster_templates
 from loomlog.operators.templates import rank_order, templates
 from loomlog.plans.leaders import _choose, order_for, rank, save_comparable, tokenized
 from loomlog.plans.simjoin import similar_rows
+from loomlog.plans.skew import join_on
 from loomlog.plans.tokens import check_metric, check_threshold, with_join_keys
 from loomlog.workspace import Workspace
 
@@ -49,7 +50,7 @@ def assign_templates(
 
     # texts can repeat among old clusters; the earliest of them is the one met
     same_old = old.groupBy(*by, text).agg(F.min("id").alias("left_id"))
-    same = fresh.select("id", *by, text).join(same_old, [*by, text]).select(
+    same = join_on(fresh.select("id", *by, text), same_old, [*by, text]).select(
         "left_id", F.col("id").alias("right_id"), F.lit(1.0).alias("similarity")
     )
     chosen = _choose(close.unionAll(same), "right_id", "left_id", mode)

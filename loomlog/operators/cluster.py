@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.text import template_words
-from loomlog.operators.templates import rank_order, templates
+from loomlog.operators.templates import DistinctLines, as_lines, distinct_lines, rank_order, templates_of
 from loomlog.plans.leaders import cluster_ranked, order_for, rank, save_comparable, tokenized
 from loomlog.plans.simjoin import similar_rows
 from loomlog.plans.tokens import check_metric, check_threshold, with_join_keys
@@ -31,11 +31,13 @@ class Clustering:
     ``membership`` has one row per template: ``by, template_id, cluster_id,
     similarity, normalized_text, count, occurrences, representative``. It is a
     written table, so deriving several results from it does not repeat the work.
+    ``lines`` are the distinct lines that were clustered, written too, if the clustering began with lines.
     """
 
     membership: DataFrame
     by: tuple[str, ...] = ()
     word_filter: bool = True
+    lines: DistinctLines | None = None
 
     @property
     def clusters(self) -> DataFrame:
@@ -121,7 +123,7 @@ def cluster_templates(
 
 
 def cluster(
-    df: DataFrame,
+    df: DataFrame | DistinctLines,
     threshold: float = 0.9,
     *,
     mode: str = "first",
@@ -134,14 +136,17 @@ def cluster(
     Lines are collapsed to templates; in order of distinct-line count each
     template joins an earlier leader with similarity >= threshold, the first
     (``mode="first"``) or the most similar (``"best"``), or becomes a leader.
-    Lines without a word are left out. ``by`` clusters each group on its own.
+    Lines without a word are left out. ``by`` clusters each group on its own. The raw lines are read
+    once; their distinct lines are written and kept in the result.
     """
-    check_threshold(threshold)
-    return cluster_templates(
-        templates(df, word_filter, by),
-        threshold,
-        mode=mode,
-        metric=metric,
-        by=by,
-        word_filter=word_filter,
+    check_threshold(threshold), check_metric(metric), check_mode(mode)
+    if isinstance(df, DistinctLines):
+        as_lines(df, word_filter, by)
+        lines = df
+    else:
+        made = distinct_lines(df, word_filter, by)
+        lines = made.kept(Workspace(df.sparkSession).save(made.df, "lines")[0])
+    result = cluster_templates(
+        templates_of(lines.df, lines.by), threshold, mode=mode, metric=metric, by=by, word_filter=word_filter
     )
+    return replace(result, lines=lines)

@@ -14,8 +14,10 @@ def contains_any(line: Column | str, terms: Sequence[str]) -> Column:
     """True if the line holds any term, ignoring case. No terms keep everything."""
     if not terms:
         return F.lit(True)
-    lowered = F.lower(line)
-    return reduce(or_, [F.contains(lowered, F.lower(F.lit(t))) for t in terms])
+    line = F.col(line) if isinstance(line, str) else line
+    # one element, so that the line is built and lowered once for all terms
+    lowered = F.array(F.lower(line))
+    return F.exists(lowered, lambda x: reduce(or_, [F.contains(x, F.lower(F.lit(t))) for t in terms]))
 
 
 def filter_contains_any(df: DataFrame, terms: Sequence[str]) -> DataFrame:

@@ -10,33 +10,35 @@ from pyspark.sql import functions as F
 
 from loomlog.operators import summary
 from loomlog.operators.cluster import Clustering, cluster_templates
-from loomlog.plans.skew import join_unique
+from loomlog.plans.skew import join_on, join_unique
 from loomlog.sources.logs import SOURCE
+from loomlog.workspace import Workspace
 
 
 @dataclass(frozen=True)
 class ClusterSet:
     """Clusters with their members and sources, as three relations.
 
-    ``clusters``: cluster_id, representative, normalized_text, words, count;
-    ``members``: cluster_id, line; ``sources``: cluster_id, namespace, pod,
+    ``clusters``: by, cluster_id, representative, normalized_text, words, count;
+    ``members``: by, cluster_id, line; ``sources``: by, cluster_id, namespace, pod,
     container. Nothing is gathered per cluster, so a cluster may be any size.
     """
 
     clusters: DataFrame
     members: DataFrame
     sources: DataFrame
+    by: tuple[str, ...] = ()
 
     @staticmethod
-    def of(result: Clustering, df: DataFrame, lines: DataFrame | None = None) -> ClusterSet:
-        """All lines and sources of a clustering of ``df`` (clustered without
-        groups); ``lines`` are its distinct lines, if already written."""
-        if result.by:
-            raise ValueError("a cluster set has no group columns; filter one group first")
+    def of(result: Clustering, df: DataFrame) -> ClusterSet:
+        """All lines and sources of a clustering of ``df``."""
+        by = list(result.by)
+        own = [c for c in SOURCE if c not in by]
         return ClusterSet(
-            result.clusters.select("cluster_id", "representative", "normalized_text", "words", "count"),
-            summary.members(result, df if lines is None else lines).select("cluster_id", "line"),
-            summary.sources(result, df).select("cluster_id", *SOURCE),
+            result.clusters.select(*by, "cluster_id", "representative", "normalized_text", "words", "count"),
+            summary.members(result, df).select(*by, "cluster_id", "line"),
+            summary.sources(result, df).select(*by, "cluster_id", *own),
+            result.by,
         )
 
 
@@ -49,46 +51,47 @@ def merge_clusters(
 ) -> ClusterSet:
     """Apply the clustering rule to the clusters of several sets.
 
-    Clusters go in order of size; a smaller one joins the first larger one whose
+    Clusters go in order of size, each group of ``by`` on its own; a smaller one joins the first larger one whose
     text is similar, and that one's representative stays. Members and sources are
     united without repeats and counted again.
     """
     if not sets:
         raise ValueError("no cluster sets to merge")
+    by = sets[0].by
+    if any(s.by != by for s in sets):
+        raise ValueError("the sets have different groups")
     tagged = [s.clusters.withColumn("_set", F.lit(i)) for i, s in enumerate(sets)]
     every = reduce(DataFrame.unionByName, tagged)
     # equal texts meet first; the largest of them sets the rank and the example
-    texts = every.groupBy("normalized_text").agg(
+    texts = every.groupBy(*by, "normalized_text").agg(
         F.max("count").alias("count"),
         F.min_by("representative", F.struct(-F.col("count"), "representative")).alias("representative"),
     )
     merged = cluster_templates(
-        texts.withColumn("occurrences", F.col("count")), threshold, mode=mode, metric=metric
+        texts.withColumn("occurrences", F.col("count")), threshold, mode=mode, metric=metric, by=by
     )
-    new_id = merged.membership.select("normalized_text", F.col("cluster_id").alias("_new"))
-    moved = every.select("_set", "cluster_id", "normalized_text", "count").join(
-        new_id, "normalized_text"
-    ).drop("normalized_text")
-    total = int(every.agg(F.sum("count")).head()[0] or 0)
+    new_id = merged.membership.select(*by, "normalized_text", F.col("cluster_id").alias("_new"))
+    moved = join_on(every.select("_set", "cluster_id", *by, "normalized_text"), new_id, [*by, "normalized_text"])
+    moved = moved.select("_set", "cluster_id", "_new")
+    ws = Workspace(every.sparkSession)
 
     def united(part: str, columns: list[str]) -> DataFrame:
         rows = reduce(
             DataFrame.unionByName,
-            [getattr(s, part).select("cluster_id", *columns, F.lit(i).alias("_set")) for i, s in enumerate(sets)],
+            [getattr(s, part).select(*by, "cluster_id", *columns, F.lit(i).alias("_set")) for i, s in enumerate(sets)],
         )
-        if part == "sources":
-            # each set lists a source once per cluster
-            rows = rows.withColumn("_row", F.xxhash64(*columns))
-        else:
-            rows = rows.withColumn("_row", F.xxhash64("line"))
-        joined = join_unique(rows, moved, ["_set", "cluster_id"], "count", total, "_row")
-        return joined.select(F.col("_new").alias("cluster_id"), *columns).distinct()
+        rows, seen = ws.save(rows.withColumn("_row", F.xxhash64(*columns)), part)
+        counted = rows.groupBy("_set", "cluster_id").agg(F.count(F.lit(1)).alias("_rows"))
+        labels = moved.join(counted, ["_set", "cluster_id"])
+        joined = join_unique(rows, labels, ["_set", "cluster_id"], "_rows", seen["rows"], "_row")
+        return joined.select(*by, F.col("_new").alias("cluster_id"), *columns).distinct()
 
     members = united("members", ["line"])
     counted = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("count"))
     clusters = merged.clusters.drop("count", "occurrences", "n_templates").join(counted, "cluster_id")
     return ClusterSet(
-        clusters.select("cluster_id", "representative", "normalized_text", "words", "count"),
+        clusters.select(*by, "cluster_id", "representative", "normalized_text", "words", "count"),
         members,
-        united("sources", SOURCE),
+        united("sources", [c for c in SOURCE if c not in by]),
+        by,
     )

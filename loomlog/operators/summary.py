@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 
 from loomlog.functions.text import with_template
 from loomlog.operators.cluster import Clustering
-from loomlog.operators.templates import as_lines
+from loomlog.operators.templates import DistinctLines, as_lines
 from loomlog.plans.leaders import rank
-from loomlog.plans.skew import join_unique
+from loomlog.plans.skew import join_on, join_unique
 from loomlog.sources.logs import SOURCE
 from loomlog.workspace import Workspace
 
@@ -29,13 +29,18 @@ def take_per_cluster(members: DataFrame, limit: int, by: tuple[str, ...] = ()) -
     return members.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
 
-def members(result: Clustering, df: DataFrame, limit: int = 0) -> DataFrame:
+def members(result: Clustering, df: DataFrame | DistinctLines | None = None, limit: int = 0) -> DataFrame:
     """Distinct lines of each cluster as a relation ``by, cluster_id, line,
-    occurrences``; ``df`` is the relation that was clustered, or its distinct lines."""
+    occurrences``.
+
+    ``df`` is the relation that was clustered or its distinct lines; it is needed only
+    if the clustering began with templates.
+    """
     by = list(result.by)
-    lines = as_lines(df, result.word_filter, by).select(
-        *by, "normalized_text", "line", "occurrences"
-    )
+    source = result.lines if result.lines is not None and not isinstance(df, DistinctLines) else df
+    if source is None:
+        raise ValueError("this clustering began with templates; give the lines")
+    lines = as_lines(source, result.word_filter, by).select(*by, "normalized_text", "line", "occurrences")
     total = result.membership.agg(F.sum("count")).head()[0] or 0
     labels = result.membership.select(*by, "normalized_text", "cluster_id", "count")
     joined = join_unique(lines, labels, [*by, "normalized_text"], "count", total, "line")
@@ -49,27 +54,30 @@ def sources(result: Clustering, df: DataFrame) -> DataFrame:
     namespace, pod, container, occurrences``.
 
     ``df`` is the clustered relation. Lines are reduced to (template, source)
-    counts per map task before anything moves, so a template has at most one row
-    per container of the fleet when it meets its cluster.
+    counts per map task before anything moves; templates travel as digests. A template that occurs in very many
+    containers is cut into blocks by its number of sources when it meets its cluster.
     """
     by = list(result.by)
     own = [c for c in SOURCE if c not in by]
+    # 128 bits stand for the text from here on
+    digest = F.md5(F.col("normalized_text").cast("binary"))
     seen = (
         with_template(df, result.word_filter)
-        .groupBy(*by, "normalized_text", *own)
+        .withColumn("_t", digest)
+        .groupBy(*by, "_t", *own)
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    labels = result.membership.select(*by, "normalized_text", "cluster_id")
-    return (
-        seen.join(labels, [*by, "normalized_text"])
-        .groupBy(*by, "cluster_id", *own)
-        .agg(F.sum("occurrences").alias("occurrences"))
-    )
+    seen, measured = Workspace(df.sparkSession).save(seen, "sources")
+    counted = seen.groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("_rows"))
+    labels = join_on(result.membership.select(*by, digest.alias("_t"), "cluster_id"), counted, [*by, "_t"])
+    rows = seen.withColumn("_row", F.xxhash64(*own)) if own else seen.withColumn("_row", F.lit(0))
+    joined = join_unique(rows, labels, [*by, "_t"], "_rows", measured["rows"], "_row")
+    return joined.groupBy(*by, "cluster_id", *own).agg(F.sum("occurrences").alias("occurrences"))
 
 
 def cluster_order() -> list:
-    """Output order: largest first, ties by text."""
-    return [F.desc("count"), F.asc("normalized_text")]
+    """Output order: largest first, ties by text, then by rank."""
+    return [F.desc("count"), F.asc("normalized_text"), F.asc("cluster_id")]
 
 
 def top_clusters(result: Clustering, k: int) -> DataFrame:
@@ -102,13 +110,14 @@ def cluster_stats(result: Clustering) -> DataFrame:
 
 
 def report(result: Clustering, df: DataFrame, top: int | None = None) -> DataFrame:
-    """The text report as rows ``rank, section, item, text``.
+    """The text report as rows ``by, rank, section, item, text``.
 
-    Sorted by those columns, ``text`` reads as the printed report. One row per
+    Sorted by rank, section and item, ``text`` reads as the printed report. One row per
     source, so a cluster seen in a million containers stays a million small rows.
     """
+    by = list(result.by)
     ranked = ranked_clusters(result) if top is None else top_clusters(result, top)
-    ranked = ranked.select(*result.by, "cluster_id", "rank", "count", "representative", "words")
+    ranked = ranked.select(*by, "cluster_id", "rank", "count", "representative", "words")
     quoted = F.transform("words", lambda w: F.concat(F.lit('"'), w, F.lit('"')))
     head = F.array(
         F.format_string("Cluster %d: (Count: %d)", F.col("rank"), F.col("count")),
@@ -116,12 +125,13 @@ def report(result: Clustering, df: DataFrame, top: int | None = None) -> DataFra
         F.concat(F.lit("  Key words: ["), F.array_join(quoted, ", "), F.lit("]")),
         F.lit("  Sources:"),
     )
-    heads = ranked.select("rank", F.posexplode(head).alias("section", "text"))
+    heads = ranked.select(*by, "rank", F.posexplode(head).alias("section", "text"))
     name = F.concat_ws("/", *SOURCE)
-    tails = (
-        sources(result, df)
-        .join(ranked.select("cluster_id", "rank"), "cluster_id")
-        .select("rank", F.lit(4).alias("section"), name.alias("item"), F.concat(F.lit("    - "), name).alias("text"))
+    places, measured = Workspace(df.sparkSession).save(sources(result, df), "places")
+    counted = places.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_rows"))
+    labels = ranked.select("cluster_id", "rank").join(counted, "cluster_id")
+    rows = places.withColumn("_row", F.xxhash64(*SOURCE))
+    tails = join_unique(rows, labels, ["cluster_id"], "_rows", measured["rows"], "_row").select(
+        *by, "rank", F.lit(4).alias("section"), name.alias("item"), F.concat(F.lit("    - "), name).alias("text")
     )
-    return heads.select("rank", "section", F.lit("").alias("item"), "text").unionAll(tails)
-
+    return heads.select(*by, "rank", "section", F.lit("").alias("item"), "text").unionAll(tails)

@@ -2,79 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlog.functions.text import template_words
 from loomlog.operators.merge import ClusterSet
 from loomlog.operators.summary import take_per_cluster
-from loomlog.plans.skew import join_unique
 from loomlog.sources.logs import ERROR_SCHEMA, SOURCE
 
-# Array elements one output row may hold. A cluster with more continues on
-# further rows with part 1, 2, ...; everything is written.
-ROW_ELEMENTS = 10_000
-
-_text = T.StringType()
-CLUSTER_SCHEMA = T.StructType(
-    [
-        T.StructField("representative", _text),
-        T.StructField("normalized_text", _text),
-        T.StructField("words", T.ArrayType(_text)),
-        T.StructField("members", T.ArrayType(_text)),
-        T.StructField("count", T.LongType()),
-        T.StructField(
-            "sources", T.ArrayType(T.StructType([T.StructField(n, _text) for n in SOURCE]))
-        ),
-        T.StructField("cluster_id", T.LongType()),
-        T.StructField("part", T.IntegerType()),
-    ]
-)
+CLUSTERS = "cluster_id bigint, representative string, normalized_text string, count bigint"
 
 
-def _chunks(rows: DataFrame, sizes: DataFrame | None, value: Column, name: str, size: int) -> DataFrame:
-    """``cluster_id, part, <name>``: the values in sorted arrays of about ``size``.
+def cluster_rows(clusters: ClusterSet, member_limit: int, source_limit: int) -> DataFrame:
+    """One row per cluster with its first members and sources, in text order, as arrays:
+    ``by, cluster_id, representative, normalized_text, words, members, count, sources``.
 
-    ``sizes`` (``cluster_id, n``) gives the rows per cluster, hence the number of
-    parts; None means one part each. The part of a value follows from its hash, so
-    no task sees a whole large cluster.
+    Arrays need limits; the whole lists are relations (see :func:`write_json`).
     """
-    valued = rows.select("cluster_id", value.alias("_v"))
-    if sizes is None:
-        valued = valued.withColumn("part", F.lit(0))
-    else:
-        total = int(sizes.agg(F.sum("n")).head()[0] or 0)
-        parts = sizes.withColumn("_parts", F.ceil(F.col("n") / size).cast("int"))
-        valued = join_unique(valued, parts, ["cluster_id"], "n", total, "_v").withColumn(
-            "part", F.pmod(F.xxhash64("_v", F.lit("part")), F.col("_parts")).cast("int")
+    if member_limit < 1 or source_limit < 1:
+        raise ValueError("arrays need positive limits")
+    own = [c for c in SOURCE if c in clusters.sources.columns and c not in clusters.by]
+    lines = take_per_cluster(clusters.members, member_limit).groupBy("cluster_id")
+    places = clusters.sources.withColumn("line", F.to_json(F.struct(*own)))
+    places = take_per_cluster(places, source_limit).groupBy("cluster_id")
+    return (
+        clusters.clusters.join(lines.agg(F.array_sort(F.collect_list("line")).alias("members")), "cluster_id", "left")
+        .join(places.agg(F.array_sort(F.collect_list(F.struct(*own))).alias("sources")), "cluster_id", "left")
+        .select(
+            *clusters.by, "cluster_id", "representative", "normalized_text", "words", "members", "count", "sources"
         )
-    return valued.groupBy("cluster_id", "part").agg(F.array_sort(F.collect_list("_v")).alias(name))
-
-
-def cluster_rows(clusters: ClusterSet, member_limit: int = 0, size: int = ROW_ELEMENTS) -> DataFrame:
-    """Clusters in the output schema. Large ones span several rows, of which
-    part 0 carries representative, words and count."""
-    kept = take_per_cluster(clusters.members, member_limit)
-    if 0 < member_limit <= size:
-        n_lines = None
-    else:
-        n = F.least("count", F.lit(member_limit)) if member_limit else F.col("count")
-        n_lines = clusters.clusters.select("cluster_id", n.alias("n"))
-    n_places = clusters.sources.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    lines = _chunks(kept, n_lines, F.col("line"), "members", size)
-    places = _chunks(clusters.sources, n_places, F.struct(*SOURCE), "sources", size)
-    heads = clusters.clusters.withColumn("part", F.lit(0))
-    keys = ["cluster_id", "part"]
-    full = lines.join(places, keys, "full").join(heads, keys, "full")
-    return full.select(
-        "representative",
-        "normalized_text",
-        "words",
-        F.coalesce("members", F.array().cast("array<string>")).alias("members"),
-        "count",
-        F.coalesce("sources", F.array().cast(CLUSTER_SCHEMA["sources"].dataType)).alias("sources"),
-        *keys,
     )
 
 
@@ -83,27 +40,42 @@ def to_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
-def write_json(
-    clusters: ClusterSet, errors: DataFrame | None, path: str, member_limit: int = 0
-) -> None:
-    """Write ``path/clusters`` and ``path/errors`` as JSON lines."""
-    cluster_rows(clusters, member_limit).write.json(f"{path}/clusters")
+def write_json(clusters: ClusterSet, errors: DataFrame | None, path: str, member_limit: int = 0) -> None:
+    """Write ``path/clusters``, ``path/members``, ``path/sources`` and ``path/errors`` as JSON
+    lines, one row per cluster, member, source and error at every size.
+
+    ``member_limit`` writes the first members of each cluster only; 0 writes all.
+    """
+    by = list(clusters.by)
+    clusters.clusters.select(*by, "cluster_id", "representative", "normalized_text", "words", "count").write.json(
+        f"{path}/clusters"
+    )
+    take_per_cluster(clusters.members, member_limit).write.json(f"{path}/members")
+    clusters.sources.write.json(f"{path}/sources")
     if errors is None:
         errors = clusters.clusters.sparkSession.createDataFrame([], ERROR_SCHEMA)
     errors.select(*ERROR_SCHEMA.names).write.json(f"{path}/errors")
 
 
-def read_clusters(spark: SparkSession, path: str) -> ClusterSet:
-    """Read clusters written by :func:`write_json`."""
-    rows = spark.read.schema(CLUSTER_SCHEMA).json(f"{path}/clusters")
-    heads = rows.where(F.col("representative").isNotNull())
+def read_clusters(spark: SparkSession, path: str, by: str = "") -> ClusterSet:
+    """Read clusters written by :func:`write_json`; ``by`` gives names and types of
+    the group columns, as in ``"namespace string"``."""
+    group = T.StructType.fromDDL(by) if by else T.StructType()
+    names = group.names
+
+    def relation(name: str, columns: str) -> DataFrame:
+        schema = T.StructType([*group.fields, *T.StructType.fromDDL(columns).fields])
+        return spark.read.schema(schema).json(f"{path}/{name}")
+
+    heads = relation("clusters", CLUSTERS)
+    own = ", ".join(f"{c} string" for c in SOURCE if c not in names)
     return ClusterSet(
         heads.select(
-            "cluster_id", "representative", "normalized_text",
-            template_words("normalized_text").alias("words"), "count",
+            *names, "cluster_id", "representative", "normalized_text", template_words("normalized_text").alias("words"), "count"
         ),
-        rows.select("cluster_id", F.explode("members").alias("line")),
-        rows.select("cluster_id", F.inline("sources")),
+        relation("members", "cluster_id bigint, line string"),
+        relation("sources", f"cluster_id bigint, {own}"),
+        tuple(names),
     )
 
 

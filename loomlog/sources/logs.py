@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlog.workspace import Workspace
+
 SOURCE = ["namespace", "pod", "container"]
 
 # <root>/<namespace>/<pod>/<container>.log
@@ -20,9 +22,6 @@ FILE_PATTERN = r"([^/]+)/([^/]+)/([^/]+?)(?:\.log)?$"
 
 # A selected pod list up to this long is broadcast; a longer one is joined by key.
 BROADCAST_PODS = 500_000
-# Blocks a pod's lines are spread over when the pod list is too long to broadcast.
-POD_BLOCKS = 32
-
 ERROR_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType(), True) for n in ("error", "location", "timestamp")]
 )
@@ -103,36 +102,57 @@ def filter_namespace(df: DataFrame, namespace: str | None = None) -> DataFrame:
     return df if namespace is None else df.where(F.col("namespace") == namespace)
 
 
-def parse_labels(selector: str) -> dict[str, str]:
-    """``app=web,tier=backend`` as a dict."""
-    terms = {}
-    for part in selector.split(","):
-        key, sep, value = part.partition("=")
-        key, value = key.strip(), value.lstrip("=").strip()
-        if not sep or not key or key.endswith("!"):
-            raise ValueError(f"not a key=value label term: {part!r}")
-        if terms.setdefault(key, value) != value:
-            raise ValueError(f"contradicting label terms for {key!r}")
-    return terms
+LABEL_TERM = re.compile(
+    r"""\s*(?:(?P<absent>!)\s*(?P<no>[\w./-]+)
+    |(?P<key>[\w./-]+)\s*(?:(?P<op>==|=|!=)\s*(?P<value>[\w.-]*)
+    |\s(?P<set>in|notin)\s*\((?P<values>[^()]*)\))?)\s*(?:,|$)""",
+    re.VERBOSE,
+)
+
+
+def label_condition(selector: str, labels: Column | str = "labels") -> Column:
+    """A label selector as a condition on a map column.
+
+    Terms joined by commas: ``k=v``, ``k==v``, ``k!=v``, ``k in (a,b)``, ``k notin (a,b)``,
+    ``k``, ``!k``. The two negative comparisons hold for pods without the label too.
+    """
+    labels = F.col(labels) if isinstance(labels, str) else labels
+    out, at = F.lit(True), 0
+    if not selector.strip() or selector.strip().endswith(","):
+        raise ValueError(f"not a label selector: {selector!r}")
+    while at < len(selector):
+        m = LABEL_TERM.match(selector, at)
+        if not m or m.end() == at:
+            raise ValueError(f"not a label term: {selector[at:]!r}")
+        at = m.end()
+        if m["absent"]:
+            out = out & F.coalesce(~F.map_contains_key(labels, m["no"]), F.lit(True))
+            continue
+        value = labels[m["key"]]
+        if m["set"]:
+            wanted = [v.strip() for v in m["values"].split(",")]
+            if "" in wanted:
+                raise ValueError(f"an empty value in {selector!r}")
+            hit = F.coalesce(value.isin(wanted), F.lit(False))
+            out = out & (hit if m["set"] == "in" else ~hit)
+        elif m["op"] is None:
+            out = out & F.coalesce(F.map_contains_key(labels, m["key"]), F.lit(False))
+        else:
+            hit = F.coalesce(value == m["value"], F.lit(False))
+            out = out & (~hit if m["op"] == "!=" else hit)
+    return out
 
 
 def filter_labels(df: DataFrame, pods: DataFrame, selector: str) -> DataFrame:
-    """Lines of pods whose ``labels`` map has every term of the selector.
+    """Lines of pods whose ``labels`` map fulfils the selector (see :func:`label_condition`).
 
-    A short pod list is broadcast after counting it. A long one is semi-joined on
-    the pod and a block of its lines, so a very chatty pod is not one task.
+    The chosen pods are written and counted. A short list is broadcast; a long one
+    is semi-joined on the pod, where adaptive execution splits a very chatty one.
     """
-    chosen = pods
-    for key, value in parse_labels(selector).items():
-        chosen = chosen.where(F.col("labels")[key] == value)
-    chosen = chosen.select("namespace", "pod").distinct()
-    if chosen.limit(BROADCAST_PODS + 1).count() <= BROADCAST_PODS:
-        return df.join(F.broadcast(chosen), ["namespace", "pod"], "left_semi")
-    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(POD_BLOCKS - 1).cast("bigint")))
-    marked = df.withColumn("_block", F.pmod(F.xxhash64("line"), F.lit(POD_BLOCKS)))
-    return marked.join(
-        chosen.withColumn("_block", blocks), ["namespace", "pod", "_block"], "left_semi"
-    ).drop("_block")
+    chosen = pods.where(label_condition(selector)).select("namespace", "pod").distinct()
+    chosen, seen = Workspace(df.sparkSession).save(chosen, "pods")
+    chosen = F.broadcast(chosen) if seen["rows"] <= BROADCAST_PODS else chosen.hint("merge")
+    return df.join(chosen, ["namespace", "pod"], "left_semi")
 
 
 def parse_since(text: str, now: datetime) -> datetime:

@@ -9,16 +9,21 @@ from pyspark.sql.types import TimestampNTZType
 from loomlog.functions.text import with_template
 from loomlog.operators.cluster import Clustering, cluster
 
-# A label table up to this many rows is broadcast to the stream.
+# A label table up to this many rows, a digest and a number each, is broadcast to the stream.
 BROADCAST_TEMPLATES = 500_000
 
 
 def cluster_by_window(df: DataFrame, width: str, threshold: float = 0.9, **options) -> Clustering:
     """Cluster each tumbling window of ``ts`` on its own, in one run.
 
-    The window start becomes the group column ``window_start``.
+    The window start becomes the group column ``window_start``; lines without a time form a
+    group of their own, with a null start.
     """
-    slotted = df.where(F.col("ts").isNotNull()).withColumn("window_start", F.window("ts", width)["start"])
+    ts = df.schema["ts"].dataType
+    # a window drops rows without a time, so they get one meanwhile
+    start = F.window(F.coalesce("ts", F.lit("1970-01-01 00:00:00").cast(ts)), width)["start"]
+    slotted = df.withColumn("_start", start)
+    slotted = slotted.withColumn("window_start", F.when(F.col("ts").isNotNull(), F.col("_start"))).drop("_start")
     return cluster(slotted, threshold, by=["window_start"], **options)
 
 
@@ -50,7 +55,30 @@ def template_counts_stream(
     )
     if known is None:
         return counts
-    labels = known.select("normalized_text", "cluster_id")
-    if labels.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
+    # 128 bits stand for a text, so a row is small however long the text is
+    digest = F.md5(F.col("normalized_text").cast("binary"))
+    labels = known.select(digest.alias("_t"), "cluster_id")
+    if labels.count() <= BROADCAST_TEMPLATES:
         labels = F.broadcast(labels)
-    return counts.join(labels, "normalized_text", "left")
+    return counts.withColumn("_t", digest).join(labels, "_t", "left").drop("_t")
+
+
+def counts_to_end(counts: DataFrame, path: str) -> DataFrame:
+    """Run :func:`template_counts_stream` over all data present, and return every count,
+    those of windows that are still open too.
+
+    Each batch writes the counts it has changed below ``path``, again under its own number if it is
+    repeated; the largest count of a window and template is the last one.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    query = (
+        counts.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = counts.sparkSession.read.schema(counts.schema).option("recursiveFileLookup", "true").parquet(f"{path}/counts")
+    keys = [c for c in counts.columns if c != "occurrences"]
+    return rows.groupBy(*keys).agg(F.max("occurrences").alias("occurrences")).select(counts.columns)

@@ -92,7 +92,7 @@ def close(t: float, metric: str = "dice_bigrams") -> str:
 def edges(t: float, by: str = "", metric: str = "dice_bigrams", name: str = "t") -> list[str]:
     """``<name>_e``: similar pairs of ``<name>``, earlier rank first."""
     sets = bigram_sets if metric == "dice_bigrams" else char_sets
-    same = f" and x.{by} = y.{by}" if by else ""
+    same = f" and x.{by} is not distinct from y.{by}" if by else ""
     return [
         *sets(name, f"{name}_s"),
         f"""{name}_e as materialized (select x.id as lo, y.id as hi, {SCORE} as similarity
@@ -214,8 +214,11 @@ union all select rank, 3, '', '  Sources:' from r
 union all select rank, 4, namespace || '/' || pod || '/' || container, '    - ' || namespace || '/' || pod || '/' || container
   from seen join r using (cluster_id)"""
 
-def _assign() -> str:
-    old = clustered("logs", where="namespace in ('AFRICA', 'ASIA')", name="o")
+def _assign(mode: str = "first") -> str:
+    old = clustered("logs", where="namespace in ('AFRICA', 'ASIA')", name="o", mode=mode)
+    pick = "min(pos) as pos, arg_min(similarity, pos) as similarity"
+    if mode == "best":
+        pick = "arg_min(pos, (-similarity, pos)) as pos, max(similarity) as similarity"
     new = templated("logs", where="namespace not in ('AFRICA', 'ASIA')", name="n")
     return ctes(
         LOGS, *old, *new,
@@ -225,9 +228,9 @@ def _assign() -> str:
         f"""hits as (select y.id, -x.id as pos, case when x.normalized_text = y.normalized_text then 1.0::double
   else {SCORE} end as similarity from v x join v y on x.id < 0 and y.id > 0
   where x.normalized_text = y.normalized_text or ({close(0.75)}))""",
-        "got as (select id, min(pos) as pos, arg_min(similarity, pos) as similarity from hits group by id)",
+        f"got as (select id, {pick} from hits group by id)",
         "rest as materialized (select row_number() over (order by count desc, normalized_text) as id, n.* exclude (id) from n where id not in (select id from got))",
-        *edges(0.75, name="rest"), *walk(name="rest"),
+        *edges(0.75, name="rest"), *walk(mode, name="rest"),
         recursive=True,
     ) + """
 select n.normalized_text, h.normalized_text as cluster_text, round(g.similarity, 6) as similarity, n.count, true as existing
@@ -267,15 +270,36 @@ join (select leader, count(*) as n_sources from srcs group by leader) s using (l
 join t on t.id = c.leader"""
 
 
-_JSON = f"""
-lim as (select leader as cluster_id, line from (select m.leader, x.line,
-  row_number() over (partition by m.leader order by x.line) as k from t_lines x join t_m m using (normalized_text)) where k <= 5),
-{_SOURCES}
-select c.representative, c.normalized_text, array_to_string(string_split(c.normalized_text, ' '), ',') as words, c.count,
-  (select count(*) from lim where lim.cluster_id = c.cluster_id) as n_members,
-  (select string_agg(line, '|' order by line) from lim where lim.cluster_id = c.cluster_id) as members,
-  (select count(*) from seen where seen.cluster_id = c.cluster_id) as n_sources
-from t_c c"""
+# Per cluster what its written members and sources add up to; g names the group column.
+def _json(by: str = "") -> str:
+    g = f"c.{by}, " if by else ""
+    on = f" and l.{by} is not distinct from x.{by}" if by else ""
+    seen = f"""seen as (select distinct m.leader as cluster_id, l.namespace, l.pod, l.container
+  from (select distinct line, namespace, pod, container from logs where {_WARN}) l join t_lines x on x.line = l.line{on}
+  join t_m m on m.normalized_text = x.normalized_text{on.replace("l.", "m.")})"""
+    lines = f"""mem as (select m.leader as cluster_id, count(*) as n_members, min(x.line) as first, cast(sum(strlen(x.line)) as bigint) as bytes
+  from t_lines x join t_m m on m.normalized_text = x.normalized_text{on.replace("l.", "m.")} group by m.leader)"""
+    return ctes(LOGS, *clustered(where=_WARN, by=by), seen, lines, recursive=True) + f"""
+select {g}c.representative, c.normalized_text, array_to_string(string_split(c.normalized_text, ' '), ',') as words, c.count,
+  mem.n_members, mem.first, mem.bytes, (select count(*) from seen where seen.cluster_id = c.cluster_id) as n_sources
+from t_c c join mem on mem.cluster_id = c.cluster_id"""
+
+
+_WARN = "(contains(lower(line), 'error') or contains(lower(line), 'warn'))"
+_EARLY = "namespace in ('AFRICA', 'ASIA')"
+_NULLED = f"nulled as (select * replace (case when {_EARLY} then namespace end as namespace) from logs)"
+
+
+def _labelled() -> str:
+    return ctes(
+        LOGS, *clustered(where=_EARLY),
+        f"w as (select time_bucket(interval '30 days', ts, timestamp '1970-01-01') as window_start, {text('line')} as normalized_text from logs)",
+        recursive=True,
+    ) + """
+select window_start, h.normalized_text as cluster_text, count(*) as templates, cast(sum(n) as bigint) as occurrences
+from (select window_start, normalized_text, count(*) as n from w where normalized_text <> '' group by all) w
+left join t_m m on m.normalized_text = w.normalized_text left join t h on h.id = m.leader group by all"""
+
 
 ORACLES: dict[str, str] = {
     "namespace_scope": ctes(LOGS) + "select pod, container, count(*) as lines from logs where namespace = 'ASIA' group by all",
@@ -345,8 +369,38 @@ from t_c order by count desc, normalized_text limit 10"""),
     "rare_clusters": cluster_query(f"select {_CLUSTER_COLS} from t_c where count <= 2"),
     "assign_new_lines": _assign(),
     "merge_two_runs": _merge(),
-    "json_roundtrip": ctes(LOGS, *clustered(), _JSON.split("select c.representative")[0].strip(), recursive=True)
-    + "select c.representative" + _JSON.split("select c.representative")[1],
+    "json_roundtrip": _json(),
+    "json_roundtrip_by_namespace": _json("namespace"),
+    "json_errors": ctes(LOGS) + f"""select 'no log lines' as error, 'pod: ' || pod || ', container: ' || container as location,
+  '2024-02-01T00:00:00+00:00' as timestamp from (select distinct namespace, pod, container from logs where {_EARLY})""",
+    "members_null_group": ctes(LOGS, _NULLED, *clustered("nulled", by="namespace"), recursive=True) + """
+select x.namespace, h.normalized_text, x.line, x.occurrences from t_lines x join t_m m on m.normalized_text = x.normalized_text
+  and m.namespace is not distinct from x.namespace join t h on h.id = m.leader""",
+    "sources_null_group": ctes(LOGS, _NULLED, *clustered("nulled", by="namespace"), recursive=True) + """
+select l.namespace, h.normalized_text, l.pod, l.container, count(*) as occurrences from nulled l
+join t_lines x on x.line = l.line and x.namespace is not distinct from l.namespace
+join t_m m on m.normalized_text = x.normalized_text and m.namespace is not distinct from x.namespace
+join t h on h.id = m.leader group by all""",
+    "top_clusters_by_namespace": cluster_query(f"""select row_number() over (order by count desc, normalized_text, cluster_id) as rank,
+  namespace, {_CLUSTER_COLS} from t_c order by rank limit 25""", by="namespace"),
+    "assign_new_lines_best": _assign("best"),
+    "cluster_docs_best_75": membership(base=DOCS, view="d", mode="best"),
+    "similar_pairs_95": pairs_query(0.95),
+    "stream_labelled_counts": _labelled(),
+    "label_set_terms": ctes(LOGS, PODS) + """select namespace, pod, container, count(*) as lines from logs l
+where exists (select 1 from pods p where p.namespace = l.namespace and p.pod = l.pod and p.app <> 'batch'
+  and p.site in ('CHINA', 'FRANCE', 'JAPAN')) group by all""",
+    "log_files": ctes(DOC_LINES) + """select namespace, pod, 'part' as container, count(*) as lines, cast(sum(strlen(line)) as bigint) as bytes
+from doc_lines group by all""",
+    "json_logs": """select event_type as namespace, count(*) as lines from events where event_id % 7 <> 0 group by event_type
+union all select '(malformed)', count(*) from events where event_id % 7 = 0""",
+    "table_scan": """select event_type as namespace, '' as container, count(*) as lines, count(distinct user_id) as pods, max(ts) as last_ts
+from events group by event_type""",
+    "empty_input": "select 0::bigint as clusters, 0::bigint as templates, 0::bigint as lines, 0::bigint as occurrences, 0 as members",
+    "cluster_by_window_no_time": ctes(
+        LOGS, "w as (select * replace (case when namespace <> 'ASIA' then ts end as ts), case when namespace <> 'ASIA' then time_bucket(interval '400 days', ts, timestamp '1970-01-01') end as window_start from logs)",
+        *clustered("w", by="window_start"), recursive=True)
+    + "select cast(window_start as timestamp) as window_start, normalized_text, count, occurrences, n_templates from t_c",
     "analyze_errors": ctes(LOGS, PODS, *clustered(
         where="namespace = 'EUROPE' and ts >= timestamp '1995-06-01 00:00:00' and (contains(lower(line), 'shipment') or contains(lower(line), 'error'))"
         " and exists (select 1 from pods p where p.namespace = logs.namespace and p.pod = logs.pod and p.app = 'web')"), recursive=True)
@@ -356,6 +410,5 @@ from t_c order by count desc, normalized_text limit 10"""),
         *clustered("w", by="window_start"), recursive=True)
     + "select cast(window_start as timestamp) as window_start, normalized_text, representative, count, occurrences, n_templates from t_c",
     "stream_template_counts": ctes(LOGS, f"w as (select time_bucket(interval '30 days', ts, timestamp '1970-01-01') as window_start, {text('line')} as normalized_text from logs)") + """
-select window_start, normalized_text, count(*) as occurrences from w where normalized_text <> ''
-and window_start + interval '30 days' <= (select max(ts) - interval '1 day' from logs) group by all""",
+select window_start, normalized_text, count(*) as occurrences from w where normalized_text <> '' group by all""",
 }

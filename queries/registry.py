@@ -13,6 +13,7 @@ import loomlog as L
 from loomlog import sinks
 from loomlog.functions import similarity as S
 from loomlog.functions import text as T
+from loomlog.plans.skew import join_unique
 from loomlog.sources import logs as src
 from loomlog.workspace import Workspace
 from queries.views import LOGS, TABLES, doc_lines, event_lines, logs, table
@@ -68,6 +69,48 @@ def label_semi_join(spark, sf):
     return kept.groupBy("namespace", "pod", "container").agg(F.count("*").alias("lines"))
 
 
+def label_set_terms(spark, sf):
+    kept = src.filter_labels(logs(spark, sf), pods(spark, sf), "app!=batch, site in (CHINA, FRANCE,JAPAN), tier, !zone")
+    return kept.groupBy("namespace", "pod", "container").agg(F.count("*").alias("lines"))
+
+
+def log_files(spark, sf):
+    """The document lines written as log files of each language and source, and read
+    back with the source taken from their paths."""
+    path = Workspace(spark).path
+    doc_lines(spark, sf).select("namespace", "pod", "line").write.partitionBy("namespace", "pod").text(path)
+    back = src.read_log_files(spark, path, r"namespace=([^/]+)/pod=([^/]+)/(part)[^/]*$")
+    return back.groupBy("namespace", "pod", "container").agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("line")).alias("bytes")
+    )
+
+
+def json_logs(spark, sf):
+    """Events as JSON records, every seventh cut short: good lines and error rows."""
+    record = F.to_json(F.struct(F.concat_ws(" ", "event_type", "props").alias("line"), F.col("event_type").alias("namespace")))
+    cut = F.when(F.col("event_id") % 7 == 0, F.left(record, F.length(record) - 1)).otherwise(record)
+    path = Workspace(spark).path
+    table(spark, sf, "events").select(cut.alias("value")).write.text(path)
+    good, bad = src.read_json_logs(spark, path, "line string, namespace string")
+    return good.groupBy("namespace").agg(F.count("*").alias("lines")).unionAll(
+        bad.agg(F.lit("(malformed)").alias("namespace"), F.count("*").alias("lines"))
+    )
+
+
+def table_scan(spark, sf):
+    rows = src.from_table(table(spark, sf, "events"), "props", namespace="event_type", pod=F.col("user_id"), ts="ts")
+    return rows.groupBy("namespace", "container").agg(
+        F.count("*").alias("lines"), F.count_distinct("pod").alias("pods"), F.max("ts").alias("last_ts")
+    )
+
+
+def empty_input(spark, sf):
+    """No line is left: one row of zeros from the totals, none from the clusters."""
+    none = L.filter_contains_any(logs(spark, sf), ["no line holds this text"])
+    result = L.cluster(none, 0.75)
+    return L.cluster_stats(result).withColumn("members", F.lit(L.members(result, none).count()))
+
+
 def split_lines(spark, sf):
     return T.with_template(doc_lines(spark, sf)).groupBy("namespace", "pod", "container").agg(F.count("*").alias("lines"))
 
@@ -188,6 +231,11 @@ def cluster_docs_75(spark, sf):
     return _membership(L.cluster(doc_lines(spark, sf), 0.75))
 
 
+def cluster_docs_best_75(spark, sf):
+    """Enough templates for several batches."""
+    return _membership(L.cluster(doc_lines(spark, sf), 0.75, mode="best"))
+
+
 def cluster_docs_by_language(spark, sf):
     return _membership(L.cluster(doc_lines(spark, sf), 0.6, by=["namespace"], word_filter=False))
 
@@ -198,7 +246,35 @@ def _base(spark, sf):
 
 
 def _named(result: L.Clustering, rows: DataFrame) -> DataFrame:
-    return rows.join(result.clusters.select("cluster_id", "normalized_text"), "cluster_id").drop("cluster_id")
+    """Rows with the text of their cluster; a large cluster's rows are split by their number."""
+    rows, seen = Workspace(rows.sparkSession).save(rows, "named")
+    counted = rows.groupBy("cluster_id").agg(F.count("*").alias("_rows"))
+    names = result.clusters.select("cluster_id", "normalized_text").join(counted, "cluster_id")
+    spread = rows.withColumn("_row", F.xxhash64(*[c for c in rows.columns if c != "cluster_id"]))
+    return join_unique(spread, names, ["cluster_id"], "_rows", seen["rows"], "_row").drop("cluster_id", "_row")
+
+
+def _with_null_groups(spark, sf):
+    """The log lines, some of them from a source that has no namespace."""
+    early, late = _halves(spark, sf)
+    return src.union_sources(early, late.drop("namespace"))
+
+
+def members_null_group(spark, sf):
+    df = _with_null_groups(spark, sf)
+    result = L.cluster(df, 0.75, by=["namespace"])
+    return _named(result, L.members(result, df))
+
+
+def sources_null_group(spark, sf):
+    df = _with_null_groups(spark, sf)
+    result = L.cluster(df, 0.75, by=["namespace"])
+    return _named(result, L.sources(result, df))
+
+
+def top_clusters_by_namespace(spark, sf):
+    result = L.cluster(logs(spark, sf), 0.75, by=["namespace"])
+    return _flat(L.top_clusters(result, 25)).select("rank", "namespace", *CLUSTER_COLS)
 
 
 def cluster_summary(spark, sf):
@@ -242,10 +318,10 @@ def _halves(spark, sf):
     return df.where(early), df.where(~early)
 
 
-def assign_new_lines(spark, sf):
+def assign_new_lines(spark, sf, mode="first"):
     old, new = _halves(spark, sf)
-    base = L.cluster(old, 0.75)
-    out = L.assign_to(new, base.clusters, 0.75)
+    base = L.cluster(old, 0.75, mode=mode)
+    out = L.assign_to(new, base.clusters, 0.75, mode=mode)
     heads = base.clusters.select("cluster_id", F.col("normalized_text").alias("cluster_text")).unionAll(
         out.formed.clusters.select("cluster_id", "normalized_text")
     )
@@ -261,21 +337,44 @@ def merge_two_runs(spark, sf):
     return out.clusters.join(n, "cluster_id").select("representative", "normalized_text", "count", "n_sources")
 
 
-def json_roundtrip(spark, sf):
-    result, df = _base(spark, sf)
-    whole = L.ClusterSet.of(result, df)
+def _read_back(spark, sf, by=()):
+    """Clusters of all lines and errors for the sources without one, written and read again."""
+    df = logs(spark, sf)
+    result, lines, errors = L.analyze(df, 0.75, by=by, contains=["error", "warn"], expected=df)
     path = Workspace(spark).path
-    sinks.write_json(whole, None, path, member_limit=5)
-    back = sinks.read_clusters(spark, path)
+    sinks.write_json(L.ClusterSet.of(result, lines), errors, path)
+    return sinks.read_clusters(spark, path, ", ".join(f"{c} string" for c in by)), sinks.read_errors(spark, path)
+
+
+def _told(back):
     lines = back.members.groupBy("cluster_id").agg(
-        F.count("*").alias("n_members"), F.array_join(F.array_sort(F.collect_list("line")), "|").alias("members")
+        F.count("*").alias("n_members"), F.min("line").alias("first"), F.sum(F.octet_length("line")).alias("bytes")
     )
     places = back.sources.groupBy("cluster_id").agg(F.count("*").alias("n_sources"))
     return _flat(back.clusters.join(lines, "cluster_id").join(places, "cluster_id")).drop("cluster_id")
 
 
+def json_roundtrip(spark, sf):
+    return _told(_read_back(spark, sf)[0])
+
+
+def json_roundtrip_by_namespace(spark, sf):
+    return _told(_read_back(spark, sf, ["namespace"])[0])
+
+
+def json_errors(spark, sf):
+    """Error rows of sources that did not log at all in one half of the data."""
+    early, late = _halves(spark, sf)
+    result, lines, errors = L.analyze(
+        late, 0.75, contains=["quota"], expected=src.union_sources(early, late), now=datetime(2024, 2, 1, tzinfo=timezone.utc)
+    )
+    path = Workspace(spark).path
+    sinks.write_json(L.ClusterSet.of(result, lines), errors, path)
+    return sinks.read_errors(spark, path)
+
+
 def analyze_errors(spark, sf):
-    result, _ = L.analyze(
+    result, *_ = L.analyze(
         logs(spark, sf), 0.75, namespace="EUROPE", label="app=web", pods=pods(spark, sf),
         since="1995-06-01T00:00:00Z", contains=["shipment", "error"],
     )
@@ -287,22 +386,35 @@ def cluster_by_window(spark, sf):
     return out.select("window_start", "normalized_text", "representative", "count", "occurrences", "n_templates")
 
 
-def stream_template_counts(spark, sf):
-    """The lineitem files as a stream, joined to the static tables, until all
-    files present are read; windows the watermark has closed come out."""
+def cluster_by_window_no_time(spark, sf):
+    """Lines of one region have no time; they are clustered among themselves."""
+    df = logs(spark, sf).withColumn("ts", F.when(F.col("namespace") != "ASIA", F.col("ts")))
+    out = L.cluster_by_window(df, "400 days", 0.75).clusters
+    return out.select("window_start", "normalized_text", "count", "occurrences", "n_templates")
+
+
+def _streamed(spark, sf, known=None):
+    """The lineitem files as a stream, joined to the static tables, until all files
+    present are read; windows that are still open come out too."""
     schema = table(spark, sf, "lineitem").schema
     live = spark.readStream.schema(schema).parquet(f"{sf}/lineitem*.parquet")
     names = [t for t in TABLES if "{" + t + "}" in LOGS and t != "lineitem"]
     lines = spark.sql(LOGS, lineitem=live, **{t: table(spark, sf, t) for t in names})
-    counts = L.template_counts_stream(lines, "30 days", "1 day")
-    ws = Workspace(spark)
-    query = (
-        counts.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{ws.path}/state").trigger(availableNow=True)
-        .start(f"{ws.path}/counts")
+    return L.counts_to_end(L.template_counts_stream(lines, "30 days", "1 day", known), Workspace(spark).path)
+
+
+def stream_template_counts(spark, sf):
+    return _streamed(spark, sf)
+
+
+def stream_labelled_counts(spark, sf):
+    """Counts per window and known cluster; texts of the other half are new."""
+    known = L.cluster(_halves(spark, sf)[0], 0.75).membership
+    heads = known.where(F.col("template_id") == F.col("cluster_id")).select("cluster_id", F.col("normalized_text").alias("cluster_text"))
+    counts = _streamed(spark, sf, known).join(heads, "cluster_id", "left")
+    return counts.groupBy("window_start", "cluster_text").agg(
+        F.count("*").alias("templates"), F.sum("occurrences").alias("occurrences")
     )
-    query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{ws.path}/counts")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -352,4 +464,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "analyze_errors": analyze_errors,
     "cluster_by_window": cluster_by_window,
     "stream_template_counts": stream_template_counts,
+    "stream_labelled_counts": stream_labelled_counts,
+    "cluster_by_window_no_time": cluster_by_window_no_time,
+    "members_null_group": members_null_group,
+    "sources_null_group": sources_null_group,
+    "top_clusters_by_namespace": top_clusters_by_namespace,
+    "json_roundtrip_by_namespace": json_roundtrip_by_namespace,
+    "json_errors": json_errors,
+    "assign_new_lines_best": partial(assign_new_lines, mode="best"),
+    "cluster_docs_best_75": cluster_docs_best_75,
+    "similar_pairs_95": partial(_pairs, 0.95, "dice_bigrams"),
+    "label_set_terms": label_set_terms,
+    "log_files": log_files,
+    "json_logs": json_logs,
+    "table_scan": table_scan,
+    "empty_input": empty_input,
 }

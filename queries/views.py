@@ -14,14 +14,14 @@ LOGS = """
 select l.l_shipdate as ts, r.r_name as namespace,
   'supplier-' || cast(s.s_suppkey as varchar(20)) as pod, p.p_brand as container,
   case (l.l_orderkey * 7 + l.l_linenumber * 3) % 8
-  when 0 then 'ERROR: Failed to process payment for order ORD' || cast(l.l_orderkey as varchar(20)) || ': ' || o.o_orderpriority
+  when 0 then 'ERROR: order ' || cast(l.l_orderkey as varchar(20)) || ' of priority ' || o.o_orderpriority || ' could not be booked in ' || n.n_name
   when 1 then 'INFO: Shipment of ' || p.p_name || ' ' || p.p_type || ' dispatched from ' || n.n_name || ' for segment ' || c.c_mktsegment || ' in ' || cast(l.l_partkey as varchar(20)) || 'ms'
-  when 2 then 'WARN: Slow query detected: ' || cast(l.l_partkey as varchar(20)) || 'ms for table ' || p.p_brand
-  when 3 then 'ERROR: Connection timeout to database server db-' || cast(s.s_suppkey as varchar(20)) || ':' || cast(l.l_partkey as varchar(20)) || ' after ' || cast(l.l_orderkey as varchar(20)) || 'ms'
-  when 4 then 'INFO: User user_' || cast(o.o_custkey as varchar(20)) || ' successfully authenticated from segment ' || c.c_mktsegment
-  when 5 then 'DEBUG: Cache hit for key cache_' || cast(l.l_partkey as varchar(20)) || ' in region ' || r.r_name
+  when 2 then 'WARN: stock of brand ' || p.p_brand || ' below plan by ' || cast(l.l_partkey as varchar(20)) || ' pieces in ' || r.r_name
+  when 3 then 'ERROR: supplier s-' || cast(s.s_suppkey as varchar(20)) || ' gave no answer before the timeout, lot ' || cast(l.l_partkey as varchar(20)) || '/' || cast(l.l_orderkey as varchar(20))
+  when 4 then 'INFO: customer c_' || cast(o.o_custkey as varchar(20)) || ' of segment ' || c.c_mktsegment || ' confirmed the delivery'
+  when 5 then 'DEBUG: price of part ' || cast(l.l_partkey as varchar(20)) || ' looked up for region ' || r.r_name
   when 6 then '   '
-  else 'WARN: Rate limit exceeded for API key api_' || cast(l.l_suppkey as varchar(20)) || ': ' || cast(l.l_partkey as varchar(20)) || ' requests' end as line
+  else 'WARN: daily quota of supplier ' || cast(l.l_suppkey as varchar(20)) || ' used up after ' || cast(l.l_partkey as varchar(20)) || ' parcels' end as line
 from {lineitem} l
 join {orders} o on l.l_orderkey = o.o_orderkey
 join {customer} c on o.o_custkey = c.c_custkey

@@ -66,6 +66,23 @@ def test_split_keys_lose_nothing(spark, monkeypatch):
     assert {tuple(r) for r in similar_pairs(df, 0.6).collect()} == want
 
 
+@pytest.mark.parametrize("metric", ["dice_bigrams", "dice_chars"])
+def test_each_pair_is_emitted_once(spark, metric):
+    """Neither a self join nor a join of two tables emits a pair twice, although the pairs share many keys."""
+    from loomlog.plans import leaders, simjoin
+    from loomlog.plans.tokens import with_join_keys
+    from loomlog.workspace import Workspace
+
+    ts = sorted(set(texts(150, 8)))
+    df = spark.createDataFrame(list(enumerate(ts)), "id long, t string")
+    tokens = leaders.tokenized(df, len(ts), "t", metric, [])
+    table = leaders.save_comparable(Workspace(spark), with_join_keys(tokens, 0.5, list(range(729))), "x")
+    one = [(r.left_id, r.right_id) for r in simjoin.similar_rows(table, table, 0.5, metric, self_join=True).collect()]
+    two = [(r.left_id, r.right_id) for r in simjoin.similar_rows(table, table, 0.5, metric).collect()]
+    assert len(one) == len(set(one)) > 50
+    assert len(two) == len(set(two)) and {p for p in two if p[0] < p[1]} == set(one)
+
+
 @pytest.mark.parametrize(
     "mode,metric,batch,budget",
     [

@@ -56,7 +56,12 @@ def test_labels(spark, monkeypatch):
         monkeypatch.setattr(S, "BROADCAST_PODS", limit)
         assert [r.line for r in S.filter_labels(logs, pods, "app=web,tier=be").collect()] == ["x"]
         assert sorted(r.line for r in S.filter_labels(logs, pods, "app=web").collect()) == ["x", "y"]
-    for bad in ("app", "=x", "app!=x", "app=a,app=b"):
+    for selector, want in {
+        "app": "xyz", "!tier": "y", "tier": "xz", "app!=web": "z", "tier != be": "y", "app in (web, db), tier": "xz",
+        "app notin (web)": "z", "tier notin (be)": "y", "app == web , tier=be": "x", "app=web,app=db": "", "zone!=a": "xyz",
+    }.items():
+        assert sorted(r.line for r in S.filter_labels(logs, pods, selector).collect()) == list(want), selector
+    for bad in ("", "=x", "app=a,", "app in ()", "app in a", "!", "app=a b", "app=(a)", "in (a)", "a,,b"):
         with pytest.raises(ValueError):
             S.filter_labels(logs, pods, bad)
 
@@ -77,6 +82,8 @@ def test_filters(spark):
     assert L.filter_contains_any(df, []).count() == 4
     assert L.filter_contains_any(df, ["error", "WARN"]).count() == 2
     assert L.filter_contains_any(df, [""]).count() == 4
+    plan = L.filter_contains_any(df.select(F.concat("line", F.lit("!")).alias("line")), ["a", "b", "c"])
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert tuple(L.filter_stats(df, ["e"]).head()) == (4, 2, 50.0)
     assert tuple(L.filter_stats(df.limit(0), ["e"]).head()) == (0, 0, 0.0)
     assert tuple(L.input_stats(df).head()) == (4, 8 + 7 + 4)
