@@ -209,7 +209,8 @@ def _stars(nodes: DataFrame) -> DataFrame:
 def _links(stars: DataFrame, docs: DataFrame, link: int) -> DataFrame:
     """Verified links ``a, b`` (a < b)."""
     n = shuffle_partitions(docs.sparkSession)
-    texts = stars.join(docs.withColumnRenamed("doc_id", "node"), "node")
+    # one plan at every size: both sides are shuffled by node, and no text is broadcast
+    texts = stars.hint("merge").join(docs.withColumnRenamed("doc_id", "node"), "node")
     texts = texts.repartition(n, "center", "i", "j").sortWithinPartitions("center", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
