@@ -183,11 +183,13 @@ def later_lines(
                     ["_key", "_doc"],
                 )
 
-    found, _ = Workspace(spark).save(work.mapInArrow(suspects, "_key binary, _doc long"), "suspected-lines")
+    tables = Workspace(spark)
+    found, _ = tables.save(work.mapInArrow(suspects, "_key binary, _doc long"), "suspected-lines")
     # one row for each key and task reaches the shuffle, so a line of every document is no burden
     first = found.groupBy("_key").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"))
-    repeated = first.where("_first < _last").drop("_last")
-    later = found.join(repeated.hint("merge"), "_key").where("_doc > _first")  # AQE splits a hot key's rows
+    repeated, _ = tables.save(first.where("_first < _last").drop("_last"), "repeated-lines")
+    # both sides are read from tables, so adaptive execution can split the rows of a hot key
+    later = found.join(repeated.hint("merge"), "_key").where("_doc > _first")
     return later.groupBy("_doc").agg(F.collect_set("_key").alias("_drop"))
 
 
