@@ -163,12 +163,13 @@ def assign_members(
             break
 
         rest = live.where(F.col("id") >= end)
-        found = similar_rows(table.part(leaders), table.part(rest), threshold, metric, by)
-        taken, seen = ws.save(_choose(found, "right_id", "left_id", mode), "members")
+        # the batch size is an upper bound of its leaders
+        found = similar_rows(table.part(leaders, size), table.part(rest, n - size), threshold, metric, by)
+        taken, _ = ws.save(_choose(found, "right_id", "left_id", mode), "members")
         members.append(taken)
-        n -= size + seen["rows"]
-        done = reduce(DataFrame.unionAll, members).select("id")
-        live = table.rows.where(F.col("id") >= end).join(done, "id", "left_anti")
+        # what is left is written once a batch, so later batches read nothing that is settled
+        live, seen = ws.save(rest.join(taken.select("id"), "id", "left_anti"), "live")
+        n = seen["rows"]
 
     if mode == "best" and batches > 1 and members:
         # a leader of a later batch may be closer than the one that absorbed it
