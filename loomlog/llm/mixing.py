@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import unused
+from loomlog.workspace import Workspace
 
 #: Leaves up to which their budgets are broadcast; above, the join is shuffled and AQE splits hot leaves.
 BROADCAST_LEAVES = 10_000
 #: Hexadecimal digits of the order hash that cut a leaf into ranges.
-RANGE_DIGITS = 4
+RANGE_DIGITS = 3
 #: What a null level of the tree is called.
 NONE = "(none)"
 
@@ -110,12 +111,16 @@ def mix(
     tree = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(n[f"l{i}"]) for i, c in enumerate(levels)]
     rows = docs.select("*", *tree, tokens.cast("long").alias(n["n_tokens"]))
     key = [n["l0"], n["l1"], n["l2"]]
+    tables = Workspace(docs.sparkSession)
     small = rows.select(F.col(id_col).alias("id"), *[F.col(k).alias(f"l{i}") for i, k in enumerate(key)], F.col(n["n_tokens"]).alias("t"))
-    leaves = small.groupBy("l0", "l1", "l2").agg(F.sum("t").alias("tokens"))
-    own = leaf_budgets(leaves, weights, budget_percent, max_epochs)
+    small, _ = tables.save(small, "counted")  # a few bytes for each document; its text is not counted again
+    leaves, _ = tables.save(small.groupBy("l0", "l1", "l2").agg(F.sum("t").alias("tokens")), "leaves")
+    own, n_leaves = tables.save(leaf_budgets(leaves, weights, budget_percent, max_epochs), "budgets")
+    few = n_leaves["rows"] <= BROADCAST_LEAVES
+    bounded = F.broadcast if few else (lambda df: df)
     own = own.withColumn("full", F.expr("if(tokens = 0, 1, own div tokens)")).withColumn("left", F.expr("if(tokens = 0, 0, own % tokens)"))
     # where in the order of its last pass each leaf's budget ends
-    ranged = small.join(_bounded(own.select("l0", "l1", "l2", "full", "left")), ["l0", "l1", "l2"]).where("left > 0")
+    ranged = small.join(bounded(own.select("l0", "l1", "l2", "full", "left")), ["l0", "l1", "l2"]).where("left > 0")
     ranged = ranged.withColumn("range", F.substring(order_hash(F.col("id"), F.col("full") + 1, seed), 1, RANGE_DIGITS))
     sums = ranged.groupBy("l0", "l1", "l2", "range", "left").agg(F.sum("t").alias("t"))
     running = F.sum("t").over(Window.partitionBy("l0", "l1", "l2").orderBy("range"))
@@ -125,7 +130,8 @@ def mix(
         F.col("l0").alias(n["l0"]), F.col("l1").alias(n["l1"]), F.col("l2").alias(n["l2"]), F.col("full").alias(n["_full"]),
         F.col("left").alias(n["_left"]), F.col("end.range").alias(n["_end"]), F.col("end.base").alias(n["_base"]),
     )
-    planned = rows.join(_bounded(plan), key)
+    plan, _ = tables.save(plan, "plan")
+    planned = rows.join(bounded(plan), key)
     kept = [*docs.columns, *names.values()]
     passes = planned.where(F.col(n["_full"]) > 0)
     passes = passes.withColumn(n["epoch"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(n["_full"])))).select(kept)
@@ -139,7 +145,3 @@ def mix(
     edge = edge.where(F.col(n["_sum"]) <= F.col(n["_left"])).select(kept)
     return passes.unionAll(sure).unionAll(edge), names
 
-
-def _bounded(leaves: DataFrame) -> DataFrame:
-    """For broadcast if the leaves are few."""
-    return F.broadcast(leaves) if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else leaves
