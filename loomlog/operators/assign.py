@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from loomlog.operators.cluster import Clustering, check_mode, cluster_templates
 from loomlog.operators.templates import rank_order, templates
-from loomlog.plans.leaders import _choose, order_for, rank, save_comparable, tokenized
+from loomlog.plans.leaders import _choose, rank, save_comparable, tokenized
 from loomlog.plans.simjoin import similar_rows
 from loomlog.plans.skew import join_on
-from loomlog.plans.tokens import check_metric, check_threshold, with_join_keys
+from loomlog.plans.tokens import check_metric, check_threshold, token_order, with_join_keys
 from loomlog.workspace import Workspace
 
 
@@ -43,7 +43,7 @@ def assign_templates(
     fresh, n_new = rank(ws, new.orderBy(*rank_order(by)))
     olds = tokenized(old, n_old, text, metric, by)
     news = tokenized(fresh, n_new, text, metric, by)
-    order = order_for(olds.unionAll(news), n_old + n_new)
+    order = token_order(olds.unionAll(news))
     left = save_comparable(ws, with_join_keys(olds, threshold, order, by), "old")
     right = save_comparable(ws, with_join_keys(news, threshold, order, by), "new")
     close = similar_rows(left, right, threshold, metric, by)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.text import template_words
 from loomlog.operators.templates import DistinctLines, as_lines, distinct_lines, rank_order, templates_of
-from loomlog.plans.leaders import cluster_ranked, order_for, rank, save_comparable, tokenized
+from loomlog.plans.leaders import cluster_ranked, rank, save_comparable, tokenized
 from loomlog.plans.simjoin import similar_rows
-from loomlog.plans.tokens import check_metric, check_threshold, with_join_keys
+from loomlog.plans.tokens import check_metric, check_threshold, token_order, with_join_keys
 from loomlog.workspace import Workspace
 
 MODES = ("first", "best")
@@ -88,7 +88,7 @@ def similar_pairs(
     ws = Workspace(df.sparkSession)
     texts, n = rank(ws, df.select(*by, text).distinct().orderBy(text, *by))
     tokens = tokenized(texts, n, text, metric, by)
-    table = save_comparable(ws, with_join_keys(tokens, threshold, order_for(tokens, n), by), "tokens")
+    table = save_comparable(ws, with_join_keys(tokens, threshold, token_order(tokens), by), "tokens")
     pairs = similar_rows(table, table, threshold, metric, by, self_join=True)
     left = texts.select(F.col("id").alias("left_id"), F.col(text).alias("left_text"), *by)
     right = texts.select(F.col("id").alias("right_id"), F.col(text).alias("right_text"))

@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.plans.simjoin import TokenTable, similar_rows
-from loomlog.plans.tokens import SLOTS, token_order, with_join_keys, with_tokens
+from loomlog.plans.tokens import token_order, with_join_keys, with_tokens
 from loomlog.workspace import Workspace
 
-# A batch of this size is resolved without counting its work first.
+# The smallest batch; larger ones are this many texts doubled, as far as the budget goes.
 FIRST_BATCH = 4096
-# Up to this many texts, every pair is cheaper than any preparation.
-FEW_TEXTS = 500
 # Texts one task turns into token sets; the work is in the processor, not in bytes.
 TEXTS_PER_TASK = 100_000
 # Candidate pairs a batch may compare, per core of the cluster.
@@ -39,18 +37,11 @@ def tokenized(df: DataFrame, n: int, text: str, metric: str, by: Sequence[str])
     """``id, by`` and the token sets of ``n`` texts, spread over at least all
     cores: texts are few bytes and much work each, so the file layout would leave
     cores idle."""
-    texts = df.select("id", *by, text)
-    if n > FEW_TEXTS:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        texts = texts.repartition(max(cores, -(-n // TEXTS_PER_TASK)), "id")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    texts = df.select("id", *by, text).repartition(max(cores, -(-n // TEXTS_PER_TASK)), "id")
     return with_tokens(texts, text, metric).drop(text)
 
 
-def order_for(tokens: DataFrame, n: int) -> list[int]:
-    """Rarest-first token order; any order is correct, so few texts skip the count."""
-    return token_order(tokens) if n > FEW_TEXTS else list(range(SLOTS))
-
-
 def save_comparable(ws: Workspace, table: DataFrame, name: str) -> TokenTable:
     """Write a join table and keep the texts that can reach the threshold with
     some other text.
@@ -60,13 +51,12 @@ def save_comparable(ws: Workspace, table: DataFrame, name: str) -> TokenTable:
     """
     can_match = (F.size("short_keys") > 0) | (F.size("long_keys") > 0)
     is_wide = (F.size("rest") > 0) | (F.col("b") == 0)
-    saved, seen = ws.save(table, name, live=F.count_if(can_match), wide=F.count_if(is_wide))
-    return TokenTable(saved.where(can_match), seen["live"], seen["wide"] > 0)
+    saved, seen = ws.save(table, name, live=F.count_if(can_match), wide=F.count_if(is_wide), last=F.max("id"))
+    return TokenTable(saved.where(can_match), seen["live"], seen["wide"] > 0, seen["last"] or 0)
 
 
-def _batch_end(live: DataFrame, budget: int) -> int | None:
-    """First rank after the largest affordable batch; None takes everything."""
-    lo, hi = live.agg(F.min("id"), F.max("id")).head()
+def _batch_end(live: DataFrame, lo: int, hi: int, budget: int) -> int | None:
+    """First rank after the largest affordable batch of ``lo..hi``; None takes everything."""
     ends = [lo + FIRST_BATCH]
     while ends[-1] <= hi:
         ends.append(lo + 2 * (ends[-1] - lo))
@@ -138,9 +128,9 @@ def assign_members(
     whose ids are ranks. Every id that is not listed is a leader."""
     budget = PAIRS_PER_CORE * ws.spark.sparkContext.defaultParallelism
     members: list[DataFrame] = []
-    live, n, batches = table.rows, table.n, 0
+    live, n, batches, start = table.rows, table.n, 0, 0
     while n:
-        end = None if n <= FIRST_BATCH else _batch_end(live, budget)
+        end = _batch_end(live, start, table.last, budget)
         batch = live if end is None else live.where(F.col("id") < end)
         size = n if end is None else batch.count()
         batches += 1
@@ -169,7 +159,7 @@ def assign_members(
         members.append(taken)
         # what is left is written once a batch, so later batches read nothing that is settled
         live, seen = ws.save(rest.join(taken.select("id"), "id", "left_anti"), "live")
-        n = seen["rows"]
+        n, start = seen["rows"], end
 
     if mode == "best" and batches > 1 and members:
         # a leader of a later batch may be closer than the one that absorbed it
@@ -216,7 +206,7 @@ def cluster_ranked(
 ) -> DataFrame:
     """Add ``cluster_id`` (the leader's id) and ``similarity`` to ranked rows."""
     tokens = tokenized(ranked, n, text, metric, by)
-    keyed = with_join_keys(tokens, threshold, order_for(tokens, n), by)
+    keyed = with_join_keys(tokens, threshold, token_order(tokens), by)
     table = save_comparable(ws, keyed, "tokens")
     members = assign_members(ws, table, threshold, metric, by, mode)
     if not members:

@@ -41,11 +41,12 @@ class Sizes:
 class TokenTable:
     """Texts in join form (see ``tokens.with_join_keys``) with their number ``n``,
     None if unknown. ``wide``: some text has tokens outside a-z and space, or none
-    at all; without such texts the comparison is plain bit counting."""
+    at all; without such texts the comparison is plain bit counting. ``last`` is the largest id."""
 
     rows: DataFrame
     n: int | None
     wide: bool
+    last: int = 0
 
     def part(self, rows: DataFrame, n: int | None = None) -> TokenTable:
         return replace(self, rows=rows, n=n)

@@ -58,7 +58,6 @@ def test_split_keys_lose_nothing(spark, monkeypatch):
     ts = texts(200, 2)
     df = spark.createDataFrame([(x,) for x in ts], "normalized_text string")
     want = {tuple(r) for r in similar_pairs(df, 0.6).collect()}
-    monkeypatch.setattr(L, "FEW_TEXTS", 0)  # count token frequencies
     monkeypatch.setattr(J, "SMALL_PRODUCT", 0)
     monkeypatch.setattr(J, "BLOCK_ROWS", 3)
     assert {tuple(r) for r in similar_pairs(df, 0.6).collect()} == want
@@ -96,7 +95,6 @@ def test_each_pair_is_emitted_once(spark, metric):
 def test_cluster_equals_sequential_rule(spark, monkeypatch, mode, metric, batch, budget):
     monkeypatch.setattr(L, "FIRST_BATCH", batch)
     monkeypatch.setattr(L, "PAIRS_PER_CORE", budget)
-    monkeypatch.setattr(L, "FEW_TEXTS", 500 if batch > 500 else 50)
     df = table(spark, texts(120, 3))
     got = cluster_templates(df, 0.7, mode=mode, metric=metric).membership
     text = {r.template_id: r.normalized_text for r in got.collect()}
