@@ -76,10 +76,10 @@ def leaf_budgets(
     for i, level in enumerate(weights):
         leaves = leaves.withColumn(f"w{i}", _weight(i, level)).where(F.col(f"w{i}") > 0)
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {int(budget_percent)} div 100").cast("long").alias("budget"))
+    total = leaves.agg(F.sum("tokens")).head()[0] or 0
     top = leaves.groupBy(F.col("l0").alias("node"), F.col("w0").alias("w")).agg(F.sum("cap").alias("cap"))
-    top = top.join(F.broadcast(total))  # a single row
-    top = _share(top.withColumn("_root", F.lit(0)), ["_root"], "budget").select(F.col("node").alias("l0"), F.col("own").alias("budget"))
+    top = top.withColumns({"_root": F.lit(0), "budget": F.lit(total * int(budget_percent) // 100).cast("long")})
+    top = _share(top, ["_root"], "budget").select(F.col("node").alias("l0"), F.col("own").alias("budget"))
     middle = leaves.groupBy("l0", F.col("l1").alias("node"), F.col("w1").alias("w")).agg(F.sum("cap").alias("cap"))
     middle = _share(middle.join(top, "l0"), ["l0"], "budget").select("l0", F.col("node").alias("l1"), F.col("own").alias("budget"))
     bottom = leaves.withColumnRenamed("w2", "w").withColumn("node", F.col("l2")).join(middle, ["l0", "l1"])
