@@ -385,7 +385,7 @@ join t h on h.id = m.leader group by all""",
   namespace, {_CLUSTER_COLS} from t_c order by rank limit 25""", by="namespace"),
     "assign_new_lines_best": _assign("best"),
     "cluster_docs_best_75": membership(base=DOCS, view="d", mode="best"),
-    "similar_pairs_95": pairs_query(0.95),
+    "similar_pairs_docs_85": pairs_query(0.85, base=DOCS, view="d"),
     "stream_labelled_counts": _labelled(),
     "label_set_terms": ctes(LOGS, PODS) + """select namespace, pod, container, count(*) as lines from logs l
 where exists (select 1 from pods p where p.namespace = l.namespace and p.pod = l.pod and p.app <> 'batch'

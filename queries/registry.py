@@ -208,8 +208,8 @@ def _pairs(t: float, metric: str, spark, sf):
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-def similar_pairs_docs_75(spark, sf):
-    pairs = L.similar_pairs(L.templates(doc_lines(spark, sf)), 0.75)
+def _pairs_docs(t: float, spark, sf):
+    pairs = L.similar_pairs(L.templates(doc_lines(spark, sf)), t)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -441,7 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similar_pairs_75": partial(_pairs, 0.75, "dice_bigrams"),
     "similar_pairs_60": partial(_pairs, 0.6, "dice_bigrams"),
     "similar_pairs_chars_90": partial(_pairs, 0.9, "dice_chars"),
-    "similar_pairs_docs_75": similar_pairs_docs_75,
+    "similar_pairs_docs_75": partial(_pairs_docs, 0.75),
     "cluster_first_75": _clustered,
     "cluster_best_75": partial(_clustered, mode="best"),
     "cluster_first_60": partial(_clustered, t=0.6),
@@ -473,7 +473,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_errors": json_errors,
     "assign_new_lines_best": partial(assign_new_lines, mode="best"),
     "cluster_docs_best_75": cluster_docs_best_75,
-    "similar_pairs_95": partial(_pairs, 0.95, "dice_bigrams"),
+    "similar_pairs_docs_85": partial(_pairs_docs, 0.85),
     "label_set_terms": label_set_terms,
     "log_files": log_files,
     "json_logs": json_logs,
