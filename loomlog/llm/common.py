@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one step inside a task works on at a time.
-SLICE_CHARS = 4_000_000
+#: Characters (or bytes) of text that one step inside a task works on at a time.
+SLICE_CHARS = 2_000_000
 #: Texts above this many characters are worked on in parts.
 LONG_TEXT = 2_000_000
+#: Rows of an Arrow batch of documents.
+BATCH_ROWS = 1000
 #: The characters \x20 and \x09-\x0D, the only ones that separate words here.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -20,8 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after setting the rows of an Arrow batch to BATCH_ROWS where the session
+    has Spark's default: a batch of 10 000 documents takes tens of MB several times over."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def release_memory() -> None:
+    """Give what a task has freed back to the system, where the C library can do that; workers live on."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only ``doc_id`` (long) and ``text``, whatever else the table has; a null text becomes empty."""
+    small_batches(docs)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
@@ -39,17 +63,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch whose ``text`` column holds about ``chars`` characters, one row at least."""
-    texts = batch.column("text").to_pylist()
-    start = held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > chars:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+def slices(batch: pa.RecordBatch, size: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch whose ``text`` column holds about ``size`` bytes, one row at least, with their texts."""
+    column = batch.column("text")
+    before = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(before, before[start] + size, side="right")) - 1)
+        part = batch.slice(start, end - start)
+        yield part, part.column("text").to_pylist()
+        start = end
 
 
 def lower_ascii(text: str) -> bytes:

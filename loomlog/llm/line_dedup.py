@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlog.llm.common import SPACES, lower_ascii, shuffle_partitions, slices, unused
+from loomlog.llm.common import SPACES, lower_ascii, release_memory, shuffle_partitions, slices, small_batches, unused
 from loomlog.workspace import Workspace
 
 #: Bits that stand for one key in each filter, one in each of as many planes.
@@ -32,6 +32,8 @@ PLANES = 2
 SEGMENT = 1 << 16
 #: Bits of a plane: as many for a character of text, and at most (32 MB a plane).
 BITS_PER_CHAR, MAX_BITS = 0.05, 1 << 28
+#: Keys whose bits a task gathers before it hands them on.
+FILTER_KEYS = 500_000
 #: Stands for a null id, which comes before all others.
 NO_ID = -(1 << 63)
 
@@ -50,9 +52,12 @@ def _keys(text: str, shortest: int) -> list[bytes | None]:
     return out
 
 
-def _positions(keys: list[bytes], bits: int) -> np.ndarray:
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
+
+
+def _positions(h: np.ndarray, bits: int) -> np.ndarray:
     """A row of bit positions for each plane."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
     mask = np.uint64(bits - 1)
     return np.stack([(h >> np.uint64(32 * p)) & mask for p in range(PLANES)]).astype(np.int64)
 
@@ -91,22 +96,25 @@ def repeat_filter(docs: DataFrame, bits: int, shortest: int) -> list[np.ndarray]
     """The twice-seen filter of all documents, a packed bit array of ``bits`` for each plane."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        hashes, owners, held = [], [], 0
         for batch in batches:
             for rows, texts in slices(batch):
                 for doc, text in zip(rows.column("_doc").to_pylist(), texts):
-                    for k in set(_keys(text, shortest)) - {None}:
-                        found.append((doc, k))
-                    if len(found) > 500_000:
-                        yield from filters(found)
-                        found = []
-        yield from filters(found)
-
-    def filters(found: list) -> Iterator[pa.RecordBatch]:
-        if not found:
+                    own = _hashes(list(set(_keys(text, shortest)) - {None}))
+                    hashes.append(own)
+                    owners.append(np.full(len(own), doc, dtype=np.int64))
+                    held += len(own)
+                if held > FILTER_KEYS:
+                    yield from filters(hashes, owners)
+                    hashes, owners, held = [], [], 0
+        yield from filters(hashes, owners)
+        release_memory()
+
+    def filters(hashes: list, owners: list) -> Iterator[pa.RecordBatch]:
+        if not hashes:
             return
-        places = _positions([k for _, k in found], bits)
-        docs_here, doc = np.unique(np.array([d for d, _ in found], dtype=np.int64), return_inverse=True)
+        places = _positions(np.concatenate(hashes), bits)
+        docs_here, doc = np.unique(np.concatenate(owners), return_inverse=True)
         for plane in range(PLANES):
             pair = np.unique(places[plane] * len(docs_here) + doc)  # a document sets a bit once
             once, n = np.unique(pair // len(docs_here), return_counts=True)
@@ -158,7 +166,7 @@ def later_lines(
 ) -> DataFrame:
     """``_doc, _drop``: for each document that loses lines, the digests of their keys."""
     spark = docs.sparkSession
-    work = docs.select(*_internal(docs, id_col, text_col))
+    work = small_batches(docs).select(*_internal(docs, id_col, text_col))
     chars = docs.agg(F.sum(F.length(text_col))).head()[0] or 0
     bits = SEGMENT
     while bits < min(max_bits, chars * BITS_PER_CHAR):
@@ -175,7 +183,7 @@ def later_lines(
                     owner += [doc] * len(own)
                 if not keys:
                     continue
-                places = _positions(keys, bits)
+                places = _positions(_hashes(keys), bits)
                 hit = np.logical_and.reduce([_has(p, places[i]) for i, p in enumerate(shared.value)])
                 at = np.flatnonzero(hit)
                 yield pa.RecordBatch.from_arrays(

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import id_and_text, lower_ascii, shuffle_partitions, slices, unused
+from loomlog.llm.common import id_and_text, lower_ascii, release_memory, shuffle_partitions, slices, unused
 from loomlog.workspace import Workspace
 
 #: Words of a shingle, and the least similarity of a link in hundredths.
@@ -33,7 +33,7 @@ BANDS, ROWS = 20, 4
 SAMPLES, BITS = 256, 2048
 #: Nodes and shingles of a block of a star.
 BLOCK_NODES, BLOCK_SHINGLES = 1000, 1_000_000
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _U = np.uint64
 _PLACE = np.array(
@@ -182,6 +182,8 @@ def _features(docs: DataFrame) -> DataFrame:
                     [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "digest", "keys"],
                 )
+        _words.clear()
+        release_memory()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
@@ -238,6 +240,8 @@ def _links(stars: DataFrame, docs: DataFrame, link: int) -> DataFrame:
                         blocks.append(block)
         if key:
             yield done()
+        _words.clear()
+        release_memory()
 
     return texts.mapInArrow(run, "a long, b long").where("a < b")
 

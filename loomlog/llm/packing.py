@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomlog.llm.common import id_and_text, slices
+from loomlog.llm.common import id_and_text, release_memory, slices
 from loomlog.llm.token_ids import piece_tokenizer
 
 TIERS = (256, 512, 1024, 2048)
@@ -157,5 +157,7 @@ def pack_documents(
                 yield out()
         packer.finish()
         yield out()
+        words.known.clear()
+        release_memory()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, COLUMNS)

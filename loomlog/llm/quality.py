@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import id_and_text, slices
+from loomlog.llm.common import SLICE_CHARS, id_and_text, release_memory, slices, small_batches
 
 #: Bytes of a passage.
 PASSAGE = 512
 #: Bytes that are described at a time.
-PART = 2048 * PASSAGE
+PART = 1024 * PASSAGE
 #: Labelled documents that the model is fitted on, the first by a hash of their ids.
 TRAINING_DOCS = 4000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 24, 12, 25, 64, 0.01
@@ -262,7 +262,7 @@ def _scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
 
 def keep_good(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``cut`` or more, with all their columns."""
-    schema = docs.schema
+    schema = small_batches(docs).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,10 +270,11 @@ def keep_good(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "
             keep, at, held = [], 0, 0
             for i, t in enumerate(texts):
                 held += len(t)
-                if held > 4_000_000 or i == len(texts) - 1:
+                if held > SLICE_CHARS or i == len(texts) - 1:
                     keep.append(_scores(model, texts[at : i + 1])[0] >= cut)
                     at, held = i + 1, 0
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
+        release_memory()
 
     return docs.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import id_and_text, shuffle_partitions, slices
+from loomlog.llm.common import id_and_text, release_memory, shuffle_partitions, slices
 from loomlog.llm.token_ids import piece_tokenizer
 
 #: Documents in one batch that a reader returns.
@@ -80,6 +80,8 @@ def write_token_files(
                 f.write(part.tobytes())
         for kind, name in temporary.items():
             store.move(name, posixpath.join(root, _name(shard, kind)))
+        words.known.clear()
+        release_memory()
         columns = [[shard], [count], [int(offsets[-1])], [int(width[-1])]]
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays(
