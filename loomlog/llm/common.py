@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,6 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def release_memory() -> None:
     """Give what a task has freed back to the system, where the C library can do that; workers live on."""
-    gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

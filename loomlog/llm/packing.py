@@ -157,7 +157,6 @@ def pack_documents(
                 yield out()
         packer.finish()
         yield out()
-        words.known.clear()
         release_memory()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, COLUMNS)

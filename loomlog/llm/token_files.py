@@ -80,7 +80,6 @@ def write_token_files(
                 f.write(part.tobytes())
         for kind, name in temporary.items():
             store.move(name, posixpath.join(root, _name(shard, kind)))
-        words.known.clear()
         release_memory()
         columns = [[shard], [count], [int(offsets[-1])], [int(width[-1])]]
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int32())

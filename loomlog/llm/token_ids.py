@@ -16,7 +16,7 @@ import numpy as np
 
 from loomlog.llm.common import LONG_TEXT, at_spaces, lower_ascii
 
-#: Pieces that a task remembers.
+#: Pieces that a worker remembers, at most about 100 MB.
 CACHE_PIECES = 500_000
 
 _ALONE = r"(?![^\x00-\x26\x28-\x7f])"  # before an ASCII character other than the apostrophe, or at the end
