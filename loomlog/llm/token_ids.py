@@ -20,9 +20,11 @@ from loomlog.llm.common import LONG_TEXT, at_spaces, lower_ascii
 CACHE_PIECES = 500_000
 
 _ALONE = r"(?![^\x00-\x26\x28-\x7f])"  # before an ASCII character other than the apostrophe, or at the end
+# the same for runs of punctuation, which go on through the control characters that are no white space
+_ENDED = r"(?![^\x09-\x0d\x20-\x26\x28-\x7e])"
 LETTERS = re.compile("[a-zÀ-ÖØ-öø-įı-ſ]+|[!-&(-/:-@\\[-`{-~]+")
 PIECE = re.compile(
-    rf"[a-zÀ-ÖØ-öø-įı-ſ]++{_ALONE}|[!-&(-/:-@\[-`{{-~]++{_ALONE}|[0-9]{_ALONE}|[^\x09-\x0d\x20]+"
+    rf"[a-zÀ-ÖØ-öø-įı-ſ]++{_ALONE}|[!-&(-/:-@\[-`{{-~]++{_ENDED}|[0-9]{_ALONE}|[^\x09-\x0d\x20]+"
 )
 
 

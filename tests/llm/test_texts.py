@@ -79,6 +79,17 @@ def test_pieces_give_the_library_ids(library, monkeypatch):
     assert [x.tolist() for x in t.ids(texts)] == want
 
 
+def test_control_characters_go_on_a_run_of_punctuation(library, machine):
+    rng = random.Random(10)
+    controls = [chr(c) for c in (*range(0x21), 0x7F)]
+    texts = [f"{a}{c}{b}" for c in controls for a in ("a.", "x)", "(", "..", "***", "!!!!!", "});", "a", "1", "'") for b in ("", "b", "..", "'s", "1")]
+    sets = ["ab", "AÉ", "!.,)(*;", "'s", "12", "".join(controls)]
+    texts += ["".join(rng.choice(rng.choice(sets)) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    want = library(texts)
+    assert [x.tolist() for x in PieceTokenizer(PATH).ids(texts)] == want
+    assert machine.counts(texts).tolist() == [len(i) for i in want]
+
+
 def nasty(spark):
     rows = [(3, "The cat sat.", "x", "y"), (None, "the dog", None, None), (1, None, "x", "y"), (2, "", "x", "y"),
             (3, "The cat sat.", "x", "y"), (9, "word " * 4000, "x", "y")]
