@@ -3,8 +3,9 @@
 Fixed patterns name assignments, access keys and long hexadecimal runs. Besides, every
 long run of token characters is a candidate: windows slide over it, the Shannon entropy of
 each is kept up to date from the counts of the character that enters and the one that leaves, and windows
-above the limit of their character class are joined to spans. An allow-list drops what looks
-random but is known to be harmless.
+above the limit of their character class are joined to spans. A name or path glued to a secret does not
+raise its limit: that of the window's own class and of the run of letters and digits around it hold as well. An
+allow-list drops what looks random but is known to be harmless.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _WORDS = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Characters of a window.
 WINDOW = 20
+#: What a name, path or sign glued to it leaves of a candidate.
+RUN = re.compile(rf"[A-Za-z0-9]{{{WINDOW},}}")
 #: Bits a character above which a window of a class is suspicious; classes from narrow to wide.
 LIMITS = (
     ("digit", re.compile(r"[0-9]+"), 3.0),
@@ -41,7 +44,7 @@ LIMITS = (
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9),
 )
 #: Candidates that are no secrets: words in one case, joined words, paths of words,
-#: UUIDs (they name things), and runs of few different characters.
+#: UUIDs (they name things). A run in them that is above its own limit is reported all the same.
 ALLOWED = (
     re.compile(r"[A-Z]?[a-z]+|[A-Z]+"),
     re.compile(r"[A-Za-z]+([_/=-]+[A-Za-z]*)+"),
@@ -57,8 +60,16 @@ def character_class(s: str) -> tuple[str, float]:
     return LIMITS[-1][0], LIMITS[-1][2]
 
 
-def hot_windows(s: str, limit: float, window: int = WINDOW) -> Iterator[tuple[int, int]]:
-    """Joined spans of all windows whose entropy is at least ``limit`` bits a character.
+# What the characters of a window are, one bit each: the class of a window follows from the kinds that it holds
+_KINDS_OF = {c: 1 if c.isdigit() else 2 if c in "ABCDEFabcdef" else 4 if c.isalpha() else 8 for c in map(chr, range(128))}
+_LIMIT_OF_KINDS = [
+    character_class("".join(c for bit, c in ((1, "0"), (2, "a"), (4, "z"), (8, "=")) if kinds & bit))[1] for kinds in range(16)
+]
+
+
+def hot_windows(s: str, limit: float, window: int = WINDOW, narrow: bool = False) -> Iterator[tuple[int, int]]:
+    """Joined spans of all windows whose entropy is at least ``limit`` bits a character, or with ``narrow``
+    at least the limit of the window's own class where that is lower.
 
     With counts c of a window of w characters the entropy is log2(w) - sum(c log2 c) / w, so a step changes two
     terms of the sum.
@@ -66,20 +77,24 @@ def hot_windows(s: str, limit: float, window: int = WINDOW) -> Iterator[tuple[in
     if len(s) < window:
         return
     part = [c * log2(c) if c else 0.0 for c in range(window + 2)]
-    most = (log2(window) - limit) * window + 1e-9
+    most = [(log2(window) - (min(limit, own) if narrow else limit)) * window + 1e-9 for own in _LIMIT_OF_KINDS]
     counts: dict[str, int] = {}
+    last = {1: -1, 2: -1, 4: -1, 8: -1}  # where each kind was seen last
     total, start, end = 0.0, -1, -1
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         total += part[n + 1] - part[n]
         counts[c] = n + 1
+        last[_KINDS_OF[c]] = i
         if i >= window:
             old = s[i - window]
             n = counts[old]
             total += part[n - 1] - part[n]
             counts[old] = n - 1
-        if i >= window - 1 and total <= most:
+        if i >= window - 1:
             first = i - window + 1
+            if total > most[sum(kind for kind, at in last.items() if at >= first)]:
+                continue
             if first > end:
                 if start >= 0:
                     yield start, end
@@ -105,13 +120,28 @@ def entropy_spans(text: str, allowed: Sequence[re.Pattern] = ALLOWED) -> list[tu
     found = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if any(p.fullmatch(s) for p in allowed):
-            continue
-        for a, b in hot_windows(s, character_class(s)[1]):
-            found.append((m.start() + a, 3, m.start() + b))
+        limit, hot = character_class(s)[1], []
+        harmless = any(p.fullmatch(s) for p in allowed)
+        if not harmless:
+            hot += hot_windows(s, limit, narrow=True)
+        for r in RUN.finditer(s):
+            own = character_class(r.group())[1]
+            if harmless or own < limit:
+                hot += [(r.start() + a, r.start() + b) for a, b in hot_windows(r.group(), own, narrow=True)]
+        found += [(m.start() + a, 3, m.start() + b) for a, b in _union(hot)]
     return found
 
 
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 

@@ -230,6 +230,38 @@ def test_entropy_and_allow_list():
         assert secret_scan.entropy_spans(harmless) == []
 
 
+def test_what_is_glued_to_a_secret_does_not_hide_it():
+    rng = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    sets = ((digits + "ABCDEF", 32), (digits, 24), (upper + lower, 32), (upper + lower + digits, 24), (upper + lower + "7", 30))
+    for chars, n in sets:
+        found = 0
+        for _ in range(300):
+            value = "".join(rng.choice(chars) for _ in range(n))
+            alone = {p for a, _, b in secret_scan.entropy_spans(value) for p in range(a, b)}
+            found += bool(alone)
+            for name in ("key=", "id-", "/v1/x/", "AA=", "name=", "some_name/", "x+"):
+                for tail in ("", "=", "/end"):
+                    spans = secret_scan.entropy_spans(name + value + tail)
+                    assert alone <= {p - len(name) for a, _, b in spans for p in range(a, b)}, name + value + tail
+                    assert all(x[2] < y[0] for x, y in zip(spans, spans[1:]))
+        assert found > 100
+
+
+def test_windows_have_the_limit_of_their_own_class():
+    from collections import Counter
+    from math import log2
+
+    rng = random.Random(12)
+    sets = ["0123456789", "0123456789ABCDEF", "abcdefghijKLMNOPQRST", "=-_/+", "abc123XYZ"]
+    for _ in range(300):
+        s = "".join(rng.choice(rng.choice(sets)) if rng.random() < 0.1 else c for c in "".join(rng.choice(x) for x in rng.sample(sets, 3) for _ in range(30)))
+        bits = [-sum(c / 20 * log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19)]
+        hot = [i for i, b in enumerate(bits) if b >= min(3.9, secret_scan.character_class(s[i : i + 20])[1]) - 1e-12]
+        got = {p for a, b in secret_scan.hot_windows(s, 3.9, narrow=True) for p in range(a, b)}
+        assert got == {p for i in hot for p in range(i, i + 20)}
+
+
 def test_secret_scan_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "token=abcdef", "y"), (2, "token=abcdef", "y"), (2, "token=abcdef", "y")],
                                "doc_id long, text string, spans string")
