@@ -24,6 +24,9 @@ PASSAGE = 512
 PART = 1024 * PASSAGE
 #: Labelled documents that the model is fitted on, the first by a hash of their ids.
 TRAINING_DOCS = 4000
+#: Passages of the documents that the model is fitted on, 128 MB of text: their features take 50 MB on the driver,
+#: and a few times as much while the model is fitted.
+TRAINING_PASSAGES = 250_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 24, 12, 25, 64, 0.01
 HELD_OUT_OF, CUT = 5, 0.3
 
@@ -204,15 +207,26 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, id_col:
     """A model from at most ``most`` documents with a label that are not held out.
 
     Those are the first by a hash of their ids, whole; their features (a few hundred bytes a
-    passage) come to the driver. A document with several labels counts with the lowest;
-    null labels and ids are left out. Without any usable label every score is 0.5.
+    passage) come to the driver. A document that would bring them above TRAINING_PASSAGES is
+    passed over as a whole, and fewer documents are taken if need be; if not one is small enough, that is an error. A
+    document with several labels counts with the lowest; null labels and ids are left out. Without any usable
+    label every score is 0.5.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     own = id_and_text(docs, id_col, text_col)
-    found = own.select("doc_id").join(chosen, "doc_id").distinct()
-    found = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded by ``most``, so it may be broadcast
-    bags = own.join(F.broadcast(found), "doc_id")
+    passages = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE))
+    found = own.select("doc_id", passages.alias("n")).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.sum("n").alias("n"))
+    first = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    taken, size = [], 0
+    for r in first:
+        if size + r["n"] <= TRAINING_PASSAGES:
+            taken.append(r)
+            size += r["n"]
+    if first and not taken:
+        raise ValueError(f"every labelled document has more than {TRAINING_PASSAGES} passages of {PASSAGE} bytes")
+    found = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in taken], found.select("doc_id", "y").schema)
+    bags = own.join(F.broadcast(found), "doc_id")  # bounded by ``most``, so it may be broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

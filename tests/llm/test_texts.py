@@ -347,3 +347,24 @@ def test_quality_without_labels_and_odd_rows(spark):
     assert quality.keep_good(nasty(spark), model).count() == 6
     assert quality.keep_good(nasty(spark), model, 0.6).columns == nasty(spark).columns
     assert quality.keep_good(spark.createDataFrame([], NULLS), model).count() == 0
+
+
+def test_training_passages_are_bounded_by_whole_documents(spark, monkeypatch):
+    texts = ["é" * 300 * (i % 7) for i in range(60)] + ["long " * 5000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(4, texts[4])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, quality int")
+    bags = []
+    monkeypatch.setattr(quality, "fit", lambda x, first, y: bags.append((x, first, y)))
+    for most in (40, 10**6):
+        monkeypatch.setattr(quality, "TRAINING_PASSAGES", most, raising=False)
+        quality.train(docs, labels)
+    whole = {quality.passage_features([t])[0].tobytes() for t in texts}
+    for x, first, y in bags:
+        assert all(x[a:b].tobytes() in whole for a, b in zip(first[:-1], first[1:]))
+    few, every = ((len(x), len(y)) for x, _, y in bags)
+    assert 35 < few[0] <= 40 and few[1] > 5
+    usable = [r.doc_id for r in docs.where(~quality.held_out(F.col("doc_id"))).collect()]
+    assert every == (sum(len(quality.passage_features([texts[d]])[0]) for d in usable), len(usable))
+    monkeypatch.setattr(quality, "TRAINING_PASSAGES", 0, raising=False)
+    with pytest.raises(ValueError):
+        quality.train(docs, labels)
