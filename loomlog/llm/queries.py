@@ -120,9 +120,8 @@ select query_id, rank, vec_id, score from r where rank <= 5
 
 OP7 = f"""
 with l as (
-  select doc_id, i, lines[i] as line
-  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents), range(1, 1000000) r(i)
-  where i <= len(lines)
+  select doc_id, unnest(range(1, len(lines) + 1)) as i, unnest(lines) as line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents)
 ), k as (
   select doc_id, i, line,
     translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') as key

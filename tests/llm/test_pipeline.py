@@ -19,6 +19,16 @@ def test_queries_with_sql(spark, name):
     assert compare(entry.queries()[name](spark, SF), duck(SF), entry.oracle_sql()[name]) is None
 
 
+def test_sql_of_line_dedup_has_every_line():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.execute("insert into documents values (1, 'the same long line'), (2, null), (3, repeat('a' || chr(10), 1000001) || 'the same long line')")
+    rows = con.sql(entry.oracle_sql()["op7_line_dedup"]).fetchall()
+    kept = ["the same long line", "", "\n".join(["a"] * 1_000_001)]
+    assert sorted(rows) == [(d, n, dropped, plain.sha(t)) for (d, n, dropped), t in zip([(1, 1, 0), (2, 1, 0), (3, 1_000_002, 1)], kept)]
+
+
 def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names
