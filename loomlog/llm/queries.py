@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm import (
-    line_dedup, lz_fingerprint, mixing, near_dedup, norm_search, packing, quality, secret_scan, token_files, token_transducer,
+    line_dedup, lz_fingerprint, mixing, near_dedup, norm_search, packing, periodic_runs, quality, secret_scan, speculative_bpe,
+    token_alignment, token_files, token_transducer,
 )
 from loomlog.llm.common import table
 from loomlog.workspace import Workspace
@@ -91,11 +92,53 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, in which the words of a tenth of the documents (by the crc32 of the id) repeat with one period from some word on."""
+    space = r"[\x20\x09-\x0D]+"
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("_words")
+    start = (g % n).cast("int")
+    period = (F.lit(1) + F.floor((n - start) / (3 + g % 8))).cast("int")
+    place = lambda i: F.when(i < F.col("_start"), i).otherwise(F.col("_start") + (i - F.col("_start")) % F.col("_period"))
+    again = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("_words", place(i) + 1)), " ")
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, F.filter(F.split("text", space), lambda w: w != "")).alias("_words"))
+    split = split.withColumns({"_start": F.when(n > 0, start), "_period": F.when(n > 0, period)})
+    return split.select("doc_id", F.when(F.size("_words") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    order = lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    longest = F.array_min(F.transform("runs", order))
+    return found.withColumn("_m", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_m.s").alias("start"), (-F.col("_m.l")).alias("length"),
+        F.col("_m.p").alias("period"), F.floor(1000 * -F.col("_m.l") / F.col("_m.p")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = speculative_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    encoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    decoded = speculative_bpe.decode_column(encoded, tokenizer_path())
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    counted = token_alignment.alignment_counts(table(spark, sf_dir, "documents"), a, b, digest)
+    return counted.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality, op2_packing, op3_norm_search, op4_secret_scan, op5_near_dedup, op6_token_files, op7_line_dedup,
-        op8_mixing, op9_token_counts, op10_lz_fingerprint,
+        op8_mixing, op9_token_counts, op10_lz_fingerprint, op11_periodic_runs, op12_bpe_round_trip, op13_token_alignment,
     )
 }
 
