@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.similarity import length_bound
 from loomlog.plans.skew import hot_list
-from loomlog.plans.tokens import MASKS, first_shared, score
+from loomlog.plans.tokens import MASKS, none_below, score, with_lower_words
 
 # Rows of one key that a single task may hold from one side.
 BLOCK_ROWS = 20_000
@@ -54,13 +54,15 @@ class TokenTable:
 
 def _payload(table: TokenTable, wide: bool, roles: Sequence[str], by: Sequence[str]) -> DataFrame:
     """A row per key, with the place ``p`` of its token; ``longer`` if the text takes
-    the longer part of a pair under this key."""
+    the longer part of a pair under this key. Numbers are made free of nulls, which keeps null tests out of the join's code."""
     rest = ["rest"] if wide else []
     rows = []
     for role in roles:
         key = F.explode(role).alias("_k")
         own = table.rows.select(key, "id", "b", "nbytes", *MASKS, *rest, *by)
-        rows.append(own.select(F.col("_k.k").alias("k"), F.col("_k.p").alias("p"), F.lit(role == "long_keys").alias("longer"), *own.columns[1:]))
+        place = [F.coalesce(F.col(f"_k.{c}"), F.lit(0).cast("bigint")).alias(c) for c in ("k", "p")]
+        numbers = [F.coalesce(c, F.lit(0).cast(own.schema[c].dataType)).alias(c) for c in ("id", "b", "nbytes", *MASKS)]
+        rows.append(own.select(*place, F.lit(role == "long_keys").alias("longer"), *numbers, *rest, *by))
     return rows[0] if len(rows) == 1 else rows[0].unionAll(rows[1])
 
 
@@ -140,6 +142,11 @@ def similar_rows(
             l, r = _split(l, hot, "lb", "rb"), _split(r, hot, "rb", "lb")
             on += ["lb", "rb"]
 
+    # the side that is not held in memory carries the words a second time, cut below the key
+    if build_left:
+        r = with_lower_words(r, "p")
+    else:
+        l = with_lower_words(l, "p")
     l, r = l.alias("l"), r.alias("r")
     cond = F.lit(True)
     for name in on:
@@ -159,8 +166,7 @@ def similar_rows(
         ratio = F.least("l.nbytes", "r.nbytes").cast("double") / F.greatest("l.nbytes", "r.nbytes")
         cond = cond & (ratio >= F.lit(length_bound(threshold)))
     # a pair is looked at under the first token that it shares, so it comes out once
-    first = first_shared("l", "r", wide)
-    cond = cond & (F.coalesce(first, F.lit(-1).cast("bigint")) == F.col("l.p"))
+    cond = cond & (none_below("r", "l", wide) if build_left else none_below("l", "r", wide))
     value = score("l", "r", wide)
     cond = cond & (value >= F.lit(threshold))
 

@@ -23,6 +23,7 @@ ALPHABET = " abcdefghijklmnopqrstuvwxyz"
 BASE = len(ALPHABET)
 SLOTS = BASE * BASE
 MASKS = [f"m{i}" for i in range(math.ceil(SLOTS / 64))]
+LOWER = [f"c{i}" for i in range(len(MASKS))]
 METRICS = ("dice_bigrams", "dice_chars")
 
 # Only pruning bounds get this tolerance; the final comparison gets none.
@@ -189,25 +190,30 @@ def with_join_keys(
     )
 
 
-def first_shared(left: str, right: str, wide: bool) -> Column:
-    """Place of the rarest token that two aliased rows share, null if none.
+def with_lower_words(rows: DataFrame, place: str) -> DataFrame:
+    """Add the bit words cut to the slots before ``place``."""
+    below = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), F.col("_q")))  # shifts by _q modulo 64
+    cut = {
+        name: F.when(F.col("_q") >= 64 * (i + 1), F.col(m)).when(F.col("_q") > 64 * i, F.col(m).bitwiseAND(below)).otherwise(zero)
+        for i, (name, m, zero) in enumerate(zip(LOWER, MASKS, [F.lit(0).cast("bigint")] * len(MASKS)))
+    }
+    bounded = F.least(F.greatest(F.col(place), F.lit(0).cast("bigint")), F.lit(64 * len(MASKS)).cast("bigint"))
+    return rows.withColumn("_q", bounded.cast("int")).withColumns(cut).drop("_q")
+
+
+def none_below(cut: str, other: str, wide: bool) -> Column:
+    """Whether two aliased rows share no token before the key that ``cut`` (see :func:`with_lower_words`) is looked at under.
 
     Both prefixes hold all tokens before their own last one, so the first token that
     two prefixes share is the first that the texts share.
     """
-    first = F.lit(None).cast("bigint")
-    for i, m in reversed(list(enumerate(MASKS))):
-        both = F.col(f"{left}.{m}").bitwiseAND(F.col(f"{right}.{m}"))
-        below = F.bit_count(F.bitwise_not(both).bitwiseAND(both - F.lit(1).cast("bigint"))).cast("bigint") + 64 * i
-        alone = F.lit(-(1 << 63))  # only the highest bit, from which 1 cannot be taken
-        first = F.when(both == alone, F.lit(64 * i + 63).cast("bigint")).when(both != 0, below).otherwise(first)
+    shared = [F.col(f"{cut}.{c}").bitwiseAND(F.col(f"{other}.{m}")) for c, m in zip(LOWER, MASKS)]
+    none = reduce(lambda x, y: x.bitwiseOR(y), shared) == 0
     if not wide:
-        return first
-    l_rest, r_rest = F.col(f"{left}.rest"), F.col(f"{right}.rest")
-    places = F.transform(F.array_intersect(l_rest, r_rest), rest_place)
-    return F.when(
-        (F.size(l_rest) > 0) & (F.size(r_rest) > 0), F.coalesce(F.array_min(places), first)
-    ).otherwise(first)
+        return none
+    l_rest, r_rest = F.col(f"{cut}.rest"), F.col(f"{other}.rest")
+    earlier = F.exists(F.array_intersect(l_rest, r_rest), lambda t: rest_place(t) < F.col(f"{cut}.p"))
+    return none & ((F.size(l_rest) == 0) | (F.size(r_rest) == 0) | ~earlier)
 
 
 def rest_place(token: Column) -> Column:

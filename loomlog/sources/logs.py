@@ -42,18 +42,30 @@ UNIT_SECONDS = {
 _SECONDS = {name: seconds for seconds, names in UNIT_SECONDS.items() for name in names}
 
 
-def read_log_files(spark: SparkSession, path: str, pattern: str = FILE_PATTERN) -> DataFrame:
-    """Whole container logs as lines, one file per container.
+def read_log_files(spark: SparkSession, path: str, pattern: str | None = None, namespace: str | None = None) -> DataFrame:
+    """Whole container logs as lines. Lines end in ``\\n`` or ``\\r\\n``.
 
-    ``pattern`` has three groups that take namespace, pod and container from the
-    file path. Lines end in ``\\n`` or ``\\r\\n``.
+    The source is taken from folders ``namespace=../pod=../container=..`` if ``path`` holds such, else from the file
+    path by three groups of ``pattern`` (:data:`FILE_PATTERN` if null: one file per container). With
+    ``namespace`` only files of that namespace are read: folders are pruned in the listing, and
+    with a ``pattern`` files are left out by their path. For logs with times, or with files that may be unreadable, see ``container_logs``.
     """
+    line = F.regexp_replace("value", r"\r\z", "").alias("line")
+    if pattern is None and _has_folders(spark, path):
+        schema = "value string" + "".join(f", {c} string" for c in SOURCE)
+        raw = filter_namespace(spark.read.schema(schema).text(path, lineSep="\n"), namespace)
+        return raw.select(line, *SOURCE)
     location = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    named = [F.regexp_extract(location, pattern or FILE_PATTERN, i + 1) for i in range(len(SOURCE))]
     raw = spark.read.text(path, lineSep="\n")
-    return raw.select(
-        F.regexp_replace("value", r"\r\z", "").alias("line"),
-        *[F.regexp_extract(location, pattern, i + 1).alias(name) for i, name in enumerate(SOURCE)],
-    )
+    if namespace is not None:
+        raw = raw.where(named[0] == namespace)
+    return raw.select(line, *[c.alias(n) for n, c in zip(SOURCE, named)])
+
+
+def _has_folders(spark: SparkSession, path: str) -> bool:
+    """Whether the listing of ``path`` finds all source columns in the names of folders; no file is read."""
+    return set(SOURCE) <= set(spark.read.format("binaryFile").load(path).columns)
 
 
 def _as_column(value: Column | str | None) -> Column:

@@ -36,6 +36,11 @@ def ctes(*parts: str, recursive: bool = False) -> str:
 
 LOGS = f"logs as ({LOGS_SQL})"
 DOC_LINES = f"doc_lines as ({DOC_LINES_SQL})"
+CONTAINERS = """containers as (
+  select lang as namespace, source as pod, 'c' || (doc_id % 3) as container, line, i,
+    if(i % 5 = 0, 'stderr', 'stdout') as stream, 1704067200 + doc_id * 60 + i as second
+  from (select *, unnest(lines) as line, unnest(range(0, len(lines))) as i
+        from (select *, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as lines from documents)))"""
 EVENT_LINES = f"event_lines as ({EVENT_LINES_SQL})"
 
 
@@ -389,9 +394,21 @@ join t h on h.id = m.leader group by all""",
     "stream_labelled_counts": _labelled(),
     "label_set_terms": ctes(LOGS, PODS) + """select namespace, pod, container, count(*) as lines from logs l
 where exists (select 1 from pods p where p.namespace = l.namespace and p.pod = l.pod and p.app <> 'batch'
-  and p.site in ('CHINA', 'FRANCE', 'JAPAN')) group by all""",
+  and p.site in ('NATION_2', 'NATION_8', 'NATION_12', 'NATION_20')) group by all""",
     "log_files": ctes(DOC_LINES) + """select namespace, pod, 'part' as container, count(*) as lines, cast(sum(strlen(line)) as bigint) as bytes
 from doc_lines group by all""",
+    "log_files_namespace": ctes(DOC_LINES) + """select namespace, pod, 'main' as container, count(*) as lines,
+  cast(sum(strlen(line)) as bigint) as bytes from doc_lines where namespace = 'de' group by all""",
+    "container_logs": ctes(CONTAINERS) + """select namespace, pod, container, stream, count(*) as lines,
+  cast(sum(strlen(line)) as bigint) as bytes, min(second) as first, max(second) as last
+from containers where pod not like '%3' group by all""",
+    "container_log_errors": """select distinct 'pod: ' || source || ', container: c' || (doc_id % 3) as location, 'cannot read' as error
+from documents where source like '%3' and text is not null""",
+    "container_logs_since": ctes(
+        CONTAINERS, "c as (select *, make_timestamp(second * 1000000) as ts from containers where namespace = 'es' and pod not like '%3' and second >= 1704085200)",
+        *clustered("c"), recursive=True)
+    + f"""select {_CLUSTER_COLS}, (select count(distinct (source, doc_id % 3))
+  from documents where lang = 'es' and source like '%3' and text is not null) as failed from t_c""",
     "json_logs": """select event_type as namespace, count(*) as lines from events where event_id % 7 <> 0 group by event_type
 union all select '(malformed)', count(*) from events where event_id % 7 = 0""",
     "table_scan": """select event_type as namespace, '' as container, count(*) as lines, count(distinct user_id) as pods, max(ts) as last_ts

@@ -14,6 +14,7 @@ from loomlog import sinks
 from loomlog.functions import similarity as S
 from loomlog.functions import text as T
 from loomlog.plans.skew import join_unique
+from loomlog.sources import container_logs as containers
 from loomlog.sources import logs as src
 from loomlog.workspace import Workspace
 from queries.views import LOGS, TABLES, doc_lines, event_lines, logs, table
@@ -70,7 +71,7 @@ def label_semi_join(spark, sf):
 
 
 def label_set_terms(spark, sf):
-    kept = src.filter_labels(logs(spark, sf), pods(spark, sf), "app!=batch, site in (CHINA, FRANCE,JAPAN), tier, !zone")
+    kept = src.filter_labels(logs(spark, sf), pods(spark, sf), "app!=batch, site in (NATION_2, NATION_8,NATION_12,NATION_20), tier, !zone")
     return kept.groupBy("namespace", "pod", "container").agg(F.count("*").alias("lines"))
 
 
@@ -85,6 +86,74 @@ def log_files(spark, sf):
     )
 
 
+def log_files_namespace(spark, sf):
+    """The same of one namespace only, from folders that name the source."""
+    path = Workspace(spark).path
+    every = doc_lines(spark, sf).withColumn("container", F.lit("main"))
+    every.select(*src.SOURCE, "line").write.partitionBy(*src.SOURCE).text(path)
+    return src.read_log_files(spark, path, namespace="de").groupBy(*src.SOURCE).agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("line")).alias("bytes")
+    )
+
+
+def _written_containers(spark, sf):
+    """The documents as files of container records: a record a line, in parts of 60 characters, every fifth one on stderr. The
+    files of pods that end in 4 are compressed, those of pods that end in 3 compressed and cut in half."""
+    path = Workspace(spark).path
+    docs = table(spark, sf, "documents").withColumns({
+        "namespace": F.col("lang"), "pod": F.col("source"), "container": F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")),
+    })
+
+    def record(line, i):
+        time = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60 + i), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+        parts = F.greatest(F.ceil(F.length(line) / 60).cast("int"), F.lit(1))
+        head = F.concat(time, F.when(i % 5 == 0, " stderr ").otherwise(" stdout "))
+        return F.array_join(F.transform(F.sequence(F.lit(1), parts), lambda k: F.concat(
+            head, F.when(k < parts, "P ").otherwise("F "), F.substring(line, (k - 1) * 60 + 1, 60))), "\n")
+
+    value = F.array_join(F.transform(F.split("text", r"\r?\n"), record), "\n").alias("value")
+    records = docs.where(F.col("text").isNotNull()).select(*src.SOURCE, value)
+    packed = F.col("pod").rlike("[34]$")
+    records.where(~packed).write.partitionBy(*src.SOURCE).text(path)
+    records.where(packed).write.mode("append").option("compression", "gzip").partitionBy(*src.SOURCE).text(path)
+    cut = containers.list_log_files(spark, path).where(F.col("pod").endswith("3")).select("file")
+    cut.mapInArrow(_cut_in_half, "file string").write.format("noop").mode("overwrite").save()
+    return path
+
+
+def _cut_in_half(batches):
+    for batch in batches:
+        for file in batch.column("file").to_pylist():
+            store, name = containers.file_store(file)
+            with store.open_input_file(name) as f:
+                data = f.read()
+            with store.open_output_stream(name, compression=None) as f:
+                f.write(data[: len(data) // 2])
+        yield batch
+
+
+def container_logs(spark, sf):
+    """Lines and times of every container whose files can be read."""
+    scan = containers.read_container_logs(spark, _written_containers(spark, sf))
+    second = F.unix_timestamp("ts")
+    return scan.lines.groupBy(*src.SOURCE, "stream").agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("line")).alias("bytes"), F.min(second).alias("first"), F.max(second).alias("last")
+    )
+
+
+def container_log_errors(spark, sf):
+    """The containers with a file that cannot be read."""
+    scan = containers.read_container_logs(spark, _written_containers(spark, sf))
+    return scan.errors.select("location", F.substring("error", 1, 11).alias("error")).distinct()
+
+
+def container_logs_since(spark, sf):
+    """Clusters of the lines of one namespace since a time; other namespaces are not opened, unreadable files are told."""
+    scan = containers.read_container_logs(spark, _written_containers(spark, sf), namespace="es", since="2024-01-01T05:00:00Z")
+    result, _, errors = L.analyze(scan.lines, 0.75, errors=scan.errors)
+    return _flat(result.clusters).select(*CLUSTER_COLS).withColumn("failed", F.lit(errors.select("location").distinct().count()))
+
+
 def json_logs(spark, sf):
     """Events as JSON records, every seventh cut short: good lines and error rows."""
     record = F.to_json(F.struct(F.concat_ws(" ", "event_type", "props").alias("line"), F.col("event_type").alias("namespace")))
@@ -476,6 +545,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similar_pairs_docs_85": partial(_pairs_docs, 0.85),
     "label_set_terms": label_set_terms,
     "log_files": log_files,
+    "log_files_namespace": log_files_namespace,
+    "container_logs": container_logs,
+    "container_log_errors": container_log_errors,
+    "container_logs_since": container_logs_since,
     "json_logs": json_logs,
     "table_scan": table_scan,
     "empty_input": empty_input,

@@ -164,3 +164,19 @@ def test_assign_to_forms_new_clusters(spark):
     fresh = rows["payment declined for card"]
     assert not fresh.existing and fresh.cluster_id > max(r.cluster_id for r in base.clusters.collect())
     assert out.formed.clusters.count() == sum(not r.existing for r in rows.values())
+
+
+@pytest.mark.parametrize("metric", ["dice_bigrams", "dice_chars"])
+@pytest.mark.parametrize("wide", [False, True])
+def test_join_is_compiled(spark, metric, wide):
+    """The JVM leaves methods above 8000 bytes interpreted."""
+    ts = [t for t in texts(100, 9) if wide or t.isascii()]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = similar_pairs(spark.createDataFrame([(x,) for x in ts], "normalized_text string"), 0.6, metric=metric)
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+        stages = getattr(debug, "MODULE$").codegenStringSeq(pairs._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert len(sizes) > 3 and max(sizes) < 8000
