@@ -157,7 +157,9 @@ def _run(run: int, pairs: np.ndarray, rows: np.ndarray) -> Iterator[dict]:
         }
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align_documents(
+    docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", run_records: int = RUN_RECORDS
+) -> DataFrame:
     """Rows of two kinds, without a shuffle: with a null ``radix`` the documents, ``doc_id, row`` (a number of the input
     row), ``n_a, n_b, n_groups, n_links`` and ``groups`` (A and B ids as ``a1,a2|b1;a3|b2,b3``); with a ``radix`` the chunks of runs."""
 
@@ -185,7 +187,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
                     })
                     seen += 1
                 yield pa.RecordBatch.from_pylist(out, schema=_ROW)
-                if held > RUN_RECORDS:
+                if held > run_records:
                     yield from chunks()
                     pairs, rows, held, runs = [], [], 0, runs + 1
         if held:
@@ -282,7 +284,7 @@ def _per_row(rows: np.ndarray, best: np.ndarray, total: np.ndarray) -> tuple[np.
 
 def alignment_counts(
     docs: DataFrame, a_path: str, b_path: str, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-    fan_in: int = FAN_IN, return_runs: int = RETURN_RUNS,
+    run_records: int = RUN_RECORDS, fan_in: int = FAN_IN, return_runs: int = RETURN_RUNS,
 ) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of every document.
 
@@ -293,7 +295,7 @@ def alignment_counts(
     """
     ws = Workspace(docs.sparkSession)
     groups = F.col("groups") if keep is None else keep
-    made = align_documents(docs, a_path, b_path, id_col, text_col).withColumn("groups", groups)
+    made = align_documents(docs, a_path, b_path, id_col, text_col, run_records).withColumn("groups", groups)
     written, _ = ws.save(made, "aligned")
     documents = written.where(F.col("radix").isNull())
     documents = documents.select("doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups")
