@@ -2,7 +2,8 @@
 
 Tokenizer A is a byte-level BPE file run on a blank and the text, B a sentencepiece model,
 which adds the blank itself. Where tokens of both end at the same byte, a group ends; the two tokens
-that end there are linked. How often each pair of ids is linked in the whole corpus is counted outside memory:
+that end there are linked. Neither has tokens across a blank that follows a word, so texts are cut there and each
+distinct unit is encoded and aligned once per worker. How often each pair of ids is linked in the whole corpus is counted outside memory:
 
 * Each task sorts its (pair, document) records by B id, A id and document and deals them into RADICES
   chunks by B id. A chunk is a row of a table, its columns are zstd-compressed arrays; the chunks of one
@@ -20,8 +21,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,16 @@ RADICES, RETURNS = 64, 8
 RUN_RECORDS = 4_000_000
 #: Runs that are merged at once, and runs that one task reads when counts go back.
 FAN_IN, RETURN_RUNS = 128, 32
+#: Bytes of aligned units that a worker remembers, as estimated.
+HELD_BYTES = 100 << 20
 #: A pair is B id << PAIR_BITS | A id.
 PAIR_BITS = 24
 
+# The white space of Unicode, which the pieces of A go by.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Neither tokenizer makes a token across a blank that follows something other than white space.
+CUT = re.compile(f"(?<=[^{WHITE}])(?= )")
+
 _ROW = pa.schema([
     ("doc_id", pa.int64()), ("row", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
     ("n_links", pa.int64()), ("groups", pa.string()), ("radix", pa.int32()), ("run", pa.int64()), ("pairs", pa.binary()),
@@ -95,22 +104,52 @@ class Aligner:
         self.written = [f"{i}{end}" for n, end in ((a_size, ","), (a_size, "|"), (b_size, ","), (b_size, ";")) for i in range(n)]
         self.at = np.cumsum([0, a_size, a_size, b_size])
 
-    def ids(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The ids of both for each text; none if the text is empty or either does not give it back byte by byte."""
-        spaced = [" " + t for t in texts]
-        for t, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            a, data = a.ids, t.encode()
-            if (
-                len(t) == 1 or b"".join(map(self.a_bytes.__getitem__, a)) != data
-                or b"".join(map(self.b_bytes.__getitem__, b)) != data
-            ):
-                a = b = []
-            yield np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, str]:
-        """The linked pairs and the written groups of one text."""
-        if not len(a):
-            return a, ""
+        # how each piece of text is aligned: the linked pairs, the written groups, the numbers of ids
+        self.unit: dict[str, int] = {}
+        self.links: list[bytes] = []
+        self.groups: list[str] = []
+        self.sizes: list[tuple[int, int]] = []
+        self.held = 0
+        if any("▁" in p.lstrip("▁") for p in self.b.id_to_piece(list(range(b_size)))):
+            raise ValueError("tokens of B go on after a blank")
+
+    def _learn(self, units: list[str]) -> None:
+        """Align units, each of which begins with a blank; B puts that blank back itself."""
+        ids = [
+            [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)],
+            self.b.encode([u[1:] for u in units], num_threads=1),
+        ]
+        flat = [np.array(list(chain.from_iterable(x)), dtype=np.int64) for x in ids]
+        ends = [np.cumsum([len(i) for i in x]) for x in ids]
+        sizes = np.array([[len(i) for i in x] for x in ids]).T
+        for side, known in enumerate((self.a_bytes, self.b_bytes)):
+            spelled = list(map(known.__getitem__, flat[side].tolist()))
+            if b"".join(spelled) != "".join(units).encode():
+                starts = ends[side] - sizes[:, side]
+                same = [b"".join(spelled[i:j]) == u.encode() for u, i, j in zip(units, starts.tolist(), ends[side].tolist())]
+                for u in (u for u, good in zip(units, same) if not good):
+                    self._keep(u, b"", "", None)
+                if any(same):
+                    self._learn([u for u, good in zip(units, same) if good])
+                return
+        pairs, last, places = self._align(*flat)
+        cut = np.cumsum(sizes.sum(axis=1)).tolist()
+        written = list(map(self.written.__getitem__, places.tolist()))
+        link_cut = (np.cumsum(last)[ends[0] - 1] * 8).tolist()
+        data, i, j = pairs.tobytes(), 0, 0
+        for u, k, m, n in zip(units, cut, link_cut, sizes.tolist()):
+            self._keep(u, data[j:m], "".join(written[i:k]), tuple(n))
+            i, j = k, m
+
+    def _keep(self, unit: str, links: bytes, groups: str, sizes: tuple[int, int] | None) -> None:
+        self.unit[unit] = len(self.links)
+        self.links.append(links)
+        self.groups.append(groups)
+        self.sizes.append(sizes)
+        self.held += 200 + 10 * len(unit)
+
+    def _align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For ids over the same bytes: the linked pairs, which A ids are linked, and all ids as places in ``written``."""
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         place = np.minimum(np.searchsorted(b_end, a_end), len(b) - 1)
         a_last = b_end[place] == a_end
@@ -120,8 +159,26 @@ class Aligner:
         out = np.empty(len(a) + len(b), dtype=np.int64)
         out[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a + self.at[a_last.astype(int)]
         out[np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")] = b + self.at[2 + b_last.astype(int)]
-        pairs = b[b_last] << PAIR_BITS | a[a_last]
-        return pairs, "".join(map(self.written.__getitem__, out.tolist()))[:-1]
+        return b[b_last] << PAIR_BITS | a[a_last], a_last, out
+
+    def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, int, int]]:
+        """The linked pairs and the written groups of each text, and how many ids A and B have; nothing
+        if the text is empty or either does not give it back byte by byte."""
+        if self.held > HELD_BYTES:
+            self.unit.clear(), self.links.clear(), self.groups.clear(), self.sizes.clear()
+            self.held = 0
+        split = [CUT.split(" " + t) if t else [] for t in texts]
+        if new := set().union(*split).difference(self.unit):
+            self._learn(list(new))
+        for units in split:
+            at = list(map(self.unit.__getitem__, units))
+            sizes = list(map(self.sizes.__getitem__, at))
+            if None in sizes or not at:
+                yield np.zeros(0, dtype=np.int64), "", 0, 0
+                continue
+            n_a, n_b = map(sum, zip(*sizes))
+            links = np.frombuffer(b"".join(map(self.links.__getitem__, at)), dtype=np.int64)
+            yield links, "".join(map(self.groups.__getitem__, at))[:-1], n_a, n_b
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}
@@ -176,13 +233,12 @@ def align_documents(
         for batch in batches:
             for given, texts in slices(batch):
                 out = []
-                for doc_id, (a, b) in zip(given.column("doc_id").to_pylist(), both.ids(texts)):
-                    links, groups = both.align(a, b)
+                for doc_id, (links, groups, n_a, n_b) in zip(given.column("doc_id").to_pylist(), both.align(texts)):
                     pairs.append(links)
                     rows.append(np.full(len(links), part + seen, dtype=np.int64))
                     held += len(links)
                     out.append({
-                        "doc_id": doc_id, "row": part + seen, "n_a": len(a), "n_b": len(b), "n_groups": len(links),
+                        "doc_id": doc_id, "row": part + seen, "n_a": n_a, "n_b": n_b, "n_groups": len(links),
                         "n_links": len(links), "groups": groups,
                     })
                     seen += 1
