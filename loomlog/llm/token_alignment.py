@@ -48,8 +48,8 @@ PAIR_BITS = 24
 
 # The white space of Unicode, which the pieces of A go by.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Neither tokenizer makes a token across a blank that follows something other than white space.
-CUT = re.compile(f"(?<=[^{WHITE}])(?= )")
+#: Neither tokenizer makes a token across a blank that follows something other than white space (the last one stays: B drops a blank alone).
+CUT = re.compile(rf"(?<=[^{WHITE}])(?= (?!\Z))")
 
 _ROW = pa.schema([
     ("doc_id", pa.int64()), ("row", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),

@@ -231,7 +231,7 @@ def plain_alignment(texts):
 def test_alignment(spark, small):
     """Also with many short runs, merged two at a time over several levels."""
     rnd = random.Random(10)
-    texts = ["", None, "the cat", "the cat", "a  b\tc\n\nd", "<|endoftext|> x<s>", "▁ spaced", "é日本\U0001f600\x00\x07", "   ", "x" * 400]
+    texts = ["", None, "the cat", "the cat", "ends in a blank ", "two  ", "a  b\tc\n\nd", "<|endoftext|> x<s>", "▁ spaced", "é日本\U0001f600\x00\x07", "   ", "x" * 400]
     texts += ["".join(rnd.choice(["the", " ", "tion", "é", "a", ".", "\n", "日", "in", "  "]) for _ in range(rnd.randrange(60))) for _ in range(120)]
     texts.append("the quick brown fox " * 20_000)  # very long
     docs, rows = docs_of(spark, texts)
