@@ -15,11 +15,18 @@ from loomlog.operators.summary import (
     top_clusters,
 )
 from loomlog.operators.templates import DistinctLines, distinct_lines, templates
-from loomlog.streaming.template_counts import cluster_by_window, counts_to_end, template_counts_stream
+from loomlog.streaming.placement import ClusterStore
+from loomlog.streaming.template_counts import (
+    cluster_by_window,
+    counts_to_end,
+    distinct_counts_stream,
+    template_counts_stream,
+)
 
 __all__ = [
-    "Analysis", "ClusterSet", "Clustering", "DistinctLines", "analyze", "assign_templates", "assign_to", "cluster",
-    "cluster_by_window", "cluster_stats", "cluster_templates", "contains_any", "counts_to_end", "distinct_lines",
+    "Analysis", "ClusterSet", "ClusterStore", "Clustering", "DistinctLines", "analyze", "assign_templates", "assign_to",
+    "cluster", "cluster_by_window", "cluster_stats", "cluster_templates", "contains_any", "counts_to_end",
+    "distinct_counts_stream", "distinct_lines",
     "filter_contains_any", "filter_stats", "input_stats", "members", "merge_clusters",
     "ranked_clusters", "rare_clusters", "report", "select_lines", "similar_pairs", "sources",
     "template_counts_stream", "templates", "top_clusters",

@@ -97,9 +97,24 @@ def assign_to(
     Counts are those of ``df``; ``merge_clusters`` unites them with the existing
     members.
     """
+    return place_templates(
+        templates(df, word_filter, by), clusters, threshold, mode=mode, metric=metric, by=by, word_filter=word_filter
+    )
+
+
+def place_templates(
+    new: DataFrame,
+    clusters: DataFrame,
+    threshold: float = 0.9,
+    *,
+    mode: str = "first",
+    metric: str = "dice_bigrams",
+    by: Sequence[str] = (),
+    word_filter: bool = True,
+) -> Assignment:
+    """:func:`assign_to` for a template table."""
     by = list(by)
-    ws = Workspace(df.sparkSession)
-    new = templates(df, word_filter, by)
+    ws = Workspace(new.sparkSession)
     placed, _ = ws.save(
         assign_templates(new, clusters, threshold, mode=mode, metric=metric, by=by), "assigned"
     )

@@ -11,6 +11,8 @@ from loomlog.operators.cluster import Clustering, cluster
 
 # A label table up to this many rows, a digest and a number each, is broadcast to the stream.
 BROADCAST_TEMPLATES = 500_000
+# Parts in which the repeats of one line are looked at first.
+SPREAD = 16
 
 
 def cluster_by_window(df: DataFrame, width: str, threshold: float = 0.9, **options) -> Clustering:
@@ -63,12 +65,40 @@ def template_counts_stream(
     return counts.withColumn("_t", digest).join(labels, "_t", "left").drop("_t")
 
 
+def distinct_counts_stream(df: DataFrame, width: str, watermark: str, word_filter: bool = True) -> DataFrame:
+    """Distinct lines (``count``) beside ``occurrences`` per window and template of a streaming log relation.
+
+    A line counts once in a window, by its 128-bit digest. The digests of a window are kept until the watermark
+    passes its end, so a repeated line is never counted again, however late within the watermark; counts equal those of the batch. A
+    line that repeats all the time is first looked at in SPREAD parts of its rows, each in a task of its own, so that
+    one task does not see them all. Rows without a time are dropped by Spark.
+    """
+    ntz = isinstance(df.schema["ts"].dataType, TimestampNTZType)
+    digest = F.unhex(F.md5(F.col("line").cast("binary")))
+    part = F.pmod(F.xxhash64(*[c for c in df.columns if c != "line"]), F.lit(SPREAD))
+    lines = (
+        with_template(df.withColumns({"_line": digest, "_part": part}), word_filter)
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", watermark)
+        .select(F.window("ts", width).alias("window"), "normalized_text", "_line", "_part")
+    )
+    first = lines.dropDuplicates(["window", "_line", "_part"]).dropDuplicates(["window", "_line"])
+    each = lines.select("window", "normalized_text", F.lit(0).alias("new"), F.lit(1).alias("row"))
+    counts = each.unionAll(first.select("window", "normalized_text", F.lit(1).alias("new"), F.lit(0).alias("row")))
+    start = F.col("window.start")
+    return (
+        counts.groupBy("window", "normalized_text")
+        .agg(F.sum("new").alias("count"), F.sum("row").alias("occurrences"))
+        .select((start.cast("timestamp_ntz") if ntz else start).alias("window_start"), "normalized_text", "count", "occurrences")
+    )
+
+
 def counts_to_end(counts: DataFrame, path: str) -> DataFrame:
-    """Run :func:`template_counts_stream` over all data present, and return every count,
+    """Run :func:`template_counts_stream` or :func:`distinct_counts_stream` over all data present, and return every count,
     those of windows that are still open too.
 
     Each batch writes the counts it has changed below ``path``, again under its own number if it is
-    repeated; the largest count of a window and template is the last one.
+    repeated; counts only grow, so the largest of a window and template is the last one.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -80,5 +110,6 @@ def counts_to_end(counts: DataFrame, path: str) -> DataFrame:
     )
     query.awaitTermination()
     rows = counts.sparkSession.read.schema(counts.schema).option("recursiveFileLookup", "true").parquet(f"{path}/counts")
-    keys = [c for c in counts.columns if c != "occurrences"]
-    return rows.groupBy(*keys).agg(F.max("occurrences").alias("occurrences")).select(counts.columns)
+    measures = [c for c in counts.columns if c in ("count", "occurrences")]
+    keys = [c for c in counts.columns if c not in measures]
+    return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in measures]).select(counts.columns)

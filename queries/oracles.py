@@ -219,15 +219,15 @@ union all select rank, 3, '', '  Sources:' from r
 union all select rank, 4, namespace || '/' || pod || '/' || container, '    - ' || namespace || '/' || pod || '/' || container
   from seen join r using (cluster_id)"""
 
-def _assign(mode: str = "first") -> str:
+def _assign(mode: str = "first", order: str = "count desc, normalized_text", both: bool = False) -> str:
     old = clustered("logs", where="namespace in ('AFRICA', 'ASIA')", name="o", mode=mode)
     pick = "min(pos) as pos, arg_min(similarity, pos) as similarity"
     if mode == "best":
         pick = "arg_min(pos, (-similarity, pos)) as pos, max(similarity) as similarity"
     new = templated("logs", where="namespace not in ('AFRICA', 'ASIA')", name="n")
-    return ctes(
+    out = ctes(
         LOGS, *old, *new,
-        "heads as (select row_number() over (order by count desc, normalized_text) as pos, * from o_c)",
+        f"heads as (select row_number() over (order by {order}) as pos, * from o_c)",
         "every as (select id, normalized_text from n union all select -pos, normalized_text from heads)",
         *bigram_sets("every", "v"),
         f"""hits as (select y.id, -x.id as pos, case when x.normalized_text = y.normalized_text then 1.0::double
@@ -243,6 +243,12 @@ from n join got g on g.id = n.id join heads h on h.pos = g.pos
 union all
 select m.normalized_text, l.normalized_text, round(m.similarity, 6), m.count, false
 from rest_m m join rest l on l.id = m.leader"""
+    if not both:
+        return out
+    first = """select 0::bigint as batch, x.normalized_text, h.normalized_text as cluster_text, round(m.similarity, 6) as similarity, x.count, false as existing
+from o_m m join o x on x.id = m.id join o h on h.id = m.leader union all """
+    at = out.index("select n.normalized_text, h.normalized_text as cluster_text")
+    return out[:at] + first + f"select 1, * from ({out[at:]})"
 
 
 def _merge() -> str:
@@ -389,6 +395,9 @@ join t h on h.id = m.leader group by all""",
     "top_clusters_by_namespace": cluster_query(f"""select row_number() over (order by count desc, normalized_text, cluster_id) as rank,
   namespace, {_CLUSTER_COLS} from t_c order by rank limit 25""", by="namespace"),
     "assign_new_lines_best": _assign("best"),
+    "stream_placed_clusters": _assign(order="cluster_id", both=True),
+    "stream_distinct_counts": ctes(LOGS, f"w as (select time_bucket(interval '30 days', ts, timestamp '1970-01-01') as window_start, line, {text('line')} as normalized_text from logs)") + """
+select window_start, normalized_text, count(distinct line) as count, 2 * count(*) as occurrences from w where normalized_text <> '' group by all""",
     "cluster_docs_best_75": membership(base=DOCS, view="d", mode="best"),
     "similar_pairs_docs_85": pairs_query(0.85, base=DOCS, view="d"),
     "stream_labelled_counts": _labelled(),

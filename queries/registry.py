@@ -462,14 +462,39 @@ def cluster_by_window_no_time(spark, sf):
     return out.select("window_start", "normalized_text", "count", "occurrences", "n_templates")
 
 
-def _streamed(spark, sf, known=None):
+def _live(spark, sf):
     """The lineitem files as a stream, joined to the static tables, until all files
     present are read; windows that are still open come out too."""
     schema = table(spark, sf, "lineitem").schema
     live = spark.readStream.schema(schema).parquet(f"{sf}/lineitem*.parquet")
     names = [t for t in TABLES if "{" + t + "}" in LOGS and t != "lineitem"]
-    lines = spark.sql(LOGS, lineitem=live, **{t: table(spark, sf, t) for t in names})
-    return L.counts_to_end(L.template_counts_stream(lines, "30 days", "1 day", known), Workspace(spark).path)
+    return spark.sql(LOGS, lineitem=live, **{t: table(spark, sf, t) for t in names})
+
+
+def _streamed(spark, sf, known=None):
+    return L.counts_to_end(L.template_counts_stream(_live(spark, sf), "30 days", "1 day", known), Workspace(spark).path)
+
+
+def stream_distinct_counts(spark, sf):
+    """Distinct lines and lines per window and template; the lines come twice, as two rows with the same time."""
+    lines = _live(spark, sf).select("ts", "namespace", "pod", "line")
+    twice = lines.unionAll(lines.withColumn("pod", F.concat("pod", F.lit("-copy"))))
+    return L.counts_to_end(L.distinct_counts_stream(twice, "30 days", "1 day"), Workspace(spark).path)
+
+
+def stream_placed_clusters(spark, sf):
+    """Two batches of a stream, one half of the lines each: the second finds the clusters of the first. A repeated batch does nothing."""
+    path = Workspace(spark).path
+    store = L.ClusterStore(spark, f"{path}/store", 0.75)
+    for half in _halves(spark, sf):
+        half.write.mode("append").parquet(f"{path}/in")
+        live = spark.readStream.schema(half.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{path}/in")
+        store.start(live, f"{path}/state", availableNow=True).awaitTermination()
+    store.place(_halves(spark, sf)[1], store.last())
+    heads = store.table("clusters").select("cluster_id", F.col("normalized_text").alias("cluster_text"))
+    return store.table("placed").join(heads, "cluster_id").select(
+        "batch", "normalized_text", "cluster_text", F.round("similarity", 6).alias("similarity"), "count", "existing"
+    )
 
 
 def stream_template_counts(spark, sf):
@@ -533,6 +558,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "analyze_errors": analyze_errors,
     "cluster_by_window": cluster_by_window,
     "stream_template_counts": stream_template_counts,
+    "stream_distinct_counts": stream_distinct_counts,
+    "stream_placed_clusters": stream_placed_clusters,
     "stream_labelled_counts": stream_labelled_counts,
     "cluster_by_window_no_time": cluster_by_window_no_time,
     "members_null_group": members_null_group,
