@@ -56,6 +56,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/loomlog-{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: list[str] = []  # names of bucketed tables; dropping one leaves its files
 
     def save(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
         """Write ``df``; return the written table and what was measured on the way:
@@ -67,6 +68,15 @@ class Workspace:
         df.observe(seen, *measured).write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target), seen.get
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """Write ``df`` in ``buckets`` by a hash of ``key``, without a shuffle: a join or aggregate by ``key`` with as many
+        shuffle partitions then moves only its other side."""
+        self._n += 1
+        target, table = f"{self.path}/{self._n:04d}-{name}", f"loomlog_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", target).saveAsTable(table)
+        self._tables.append(table)
+        return self.spark.table(table)
+
     def close(self, *tables: DataFrame) -> None:
         """Delete written tables that nothing reads any more, or all of them."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -75,3 +85,7 @@ class Workspace:
             if self.path.split("/loomlog-")[-1] in path:
                 where = hadoop(path)
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if not tables:
+            for name in self._tables:
+                self.spark.sql(f"drop table if exists {name}")
+            self._tables.clear()
