@@ -1,24 +1,27 @@
 """Line deduplication with two Bloom filters (operator 7).
 
 Every task puts the hashed keys of its lines into two Bloom filters: once-seen, and
-twice-seen for bits that a second document sets. Merged over all tasks, a key that two documents
+twice-seen for bits that are set a second time. Merged over all tasks, a key that two documents
 hold has all its bits in the twice-seen filter, whatever the order of the merge. Only lines that pass this filter are
 suspected repeats; their 128-bit digests are shuffled, counted exactly and given
 their first document. Then each document loses the lines that an earlier one holds.
 
-The filters travel as the positions of set bits, a few bytes a line, cut into
-segments that are merged apart. Their size follows from the counted text up to ``max_bits``; a
-fuller filter suspects more lines and changes no result.
+The filters grow with the text and are nowhere whole. They travel as positions of set bits, a few bytes a line, cut into
+segments; each segment is merged in one task. The positions of each chunk of lines then meet the merged segments, and
+the chunk is told which of them are seen twice. The digests of a chunk stay where they were written: the
+chunks are a table in buckets, to which only the answers are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,12 +31,14 @@ from loomlog.workspace import Workspace
 
 #: Bits that stand for one key in each filter, one in each of as many planes.
 PLANES = 2
-#: Bits of one segment of a plane; its positions fit 16 bits.
-SEGMENT = 1 << 16
-#: Bits of a plane: as many for a character of text, and at most (32 MB a plane).
-BITS_PER_CHAR, MAX_BITS = 0.05, 1 << 28
+#: Fewest bits of one segment of a plane, and most segments of a plane; beyond, the segments grow.
+SEGMENT, MOST_SEGMENTS = 1 << 16, 1 << 14
+#: Bits of a plane for a character of text.
+BITS_PER_CHAR = 0.05
 #: Keys whose bits a task gathers before it hands them on.
 FILTER_KEYS = 500_000
+#: Filter rows in one batch.
+ROWS = 2000
 #: Stands for a null id, which comes before all others.
 NO_ID = -(1 << 63)
 
@@ -52,106 +57,132 @@ def _keys(text: str, shortest: int) -> list[bytes | None]:
     return out
 
 
-def _hashes(keys: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
-
-
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """A row of bit positions for each plane."""
-    mask = np.uint64(bits - 1)
-    return np.stack([(h >> np.uint64(32 * p)) & mask for p in range(PLANES)]).astype(np.int64)
-
-
 def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def _segments(plane: int, once: np.ndarray, twice: np.ndarray) -> Iterator[tuple]:
-    """Rows ``plane, segment, once, twice`` of sorted positions."""
-    cut = np.unique(once // SEGMENT)
-    a = np.searchsorted(once, cut * SEGMENT), np.searchsorted(once, (cut + 1) * SEGMENT)
-    b = np.searchsorted(twice, cut * SEGMENT), np.searchsorted(twice, (cut + 1) * SEGMENT)
-    one, two = (once % SEGMENT).astype("<u2"), (twice % SEGMENT).astype("<u2")
-    for i, s in enumerate(cut.tolist()):
-        yield plane, s, one[a[0][i] : a[1][i]].tobytes(), two[b[0][i] : b[1][i]].tobytes()
+def _places(digests: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each digest (its 16 bytes) in each plane, a column a plane."""
+    return (digests.view("<u8").reshape(-1, PLANES) & np.uint64(bits - 1)).astype(np.int64)
 
 
-_SEGMENT_SCHEMA = "plane int, segment int, once binary, twice binary"
-_SEGMENT_TYPES = [("plane", pa.int32()), ("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]
+_SCAN = pa.schema([
+    ("chunk", pa.int64()), ("plane", pa.int32()), ("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary()),
+    ("docs", pa.binary()), ("keys", pa.binary()),
+])
+_SCAN_DDL = "chunk long, plane int, segment int, once binary, twice binary, docs binary, keys binary"
 
 
-def _batch(rows: list[tuple], types: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], [n for n, _ in types])
+def _filter_rows(chunk: int, digests: np.ndarray, bits: int, segment: int) -> Iterator[dict]:
+    """The two filters of a chunk: by plane and segment the positions set once or more, and twice or more."""
+    for plane, places in enumerate(_places(digests, bits).T):
+        once, n = np.unique(places, return_counts=True)
+        twice = once[n > 1]
+        cut = np.unique(once // segment)
+        a = np.searchsorted(once, cut * segment), np.searchsorted(once, (cut + 1) * segment)
+        b = np.searchsorted(twice, cut * segment), np.searchsorted(twice, (cut + 1) * segment)
+        one, two = (once % segment).astype("<u4"), (twice % segment).astype("<u4")
+        for i, s in enumerate(cut.tolist()):
+            yield {
+                "chunk": chunk, "plane": plane, "segment": s, "once": one[a[0][i] : a[1][i]].tobytes(),
+                "twice": two[b[0][i] : b[1][i]].tobytes(),
+            }
 
 
-def _merge(once: np.ndarray, twice: np.ndarray, more_once: np.ndarray, more_twice: np.ndarray) -> None:
-    """Add a filter to one held as bit arrays: what both have seen once is now seen twice."""
-    twice[more_once] |= once[more_once]
-    twice[more_twice] = True
-    once[more_once] = True
+def _scanned(docs: DataFrame, bits: int, segment: int, shortest: int) -> DataFrame:
+    """The chunks of lines of each task, ``docs`` and ``keys`` (digests), and, with a ``plane``, the filters of each chunk."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, digests, owners = TaskContext.get().partitionId() << 32, [], []
 
-def repeat_filter(docs: DataFrame, bits: int, shortest: int) -> list[np.ndarray]:
-    """The twice-seen filter of all documents, a packed bit array of ``bits`` for each plane."""
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys = np.frombuffer(b"".join(digests), dtype=np.uint8)
+            docs = np.concatenate(owners).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "docs": docs, "keys": keys.tobytes()}], schema=_SCAN)
+            made = list(_filter_rows(chunk, keys, bits, segment))
+            for i in range(0, len(made), ROWS):
+                yield pa.RecordBatch.from_pylist(made[i : i + ROWS], schema=_SCAN)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, owners, held = [], [], 0
         for batch in batches:
-            for rows, texts in slices(batch):
-                for doc, text in zip(rows.column("_doc").to_pylist(), texts):
-                    own = _hashes(list(set(_keys(text, shortest)) - {None}))
-                    hashes.append(own)
+            for rows_, texts in slices(batch):
+                for doc, text in zip(rows_.column("_doc").to_pylist(), texts):
+                    own = set(_keys(text, shortest)) - {None}
+                    digests += map(_digest, own)
                     owners.append(np.full(len(own), doc, dtype=np.int64))
-                    held += len(own)
-                if held > FILTER_KEYS:
-                    yield from filters(hashes, owners)
-                    hashes, owners, held = [], [], 0
-        yield from filters(hashes, owners)
+                if len(digests) > FILTER_KEYS:
+                    yield from rows()
+                    chunk, digests, owners = chunk + 1, [], []
+        if digests:
+            yield from rows()
         release_memory()
 
-    def filters(hashes: list, owners: list) -> Iterator[pa.RecordBatch]:
-        if not hashes:
-            return
-        places = _positions(np.concatenate(hashes), bits)
-        docs_here, doc = np.unique(np.concatenate(owners), return_inverse=True)
-        for plane in range(PLANES):
-            pair = np.unique(places[plane] * len(docs_here) + doc)  # a document sets a bit once
-            once, n = np.unique(pair // len(docs_here), return_counts=True)
-            yield _batch(list(_segments(plane, once, once[n > 1])), _SEGMENT_TYPES)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, once, twice = None, None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (row["plane"], row["segment"]) != key:
-                    if key:
-                        yield done(key, twice)
-                    key = row["plane"], row["segment"]
-                    once, twice = np.zeros(SEGMENT, dtype=bool), np.zeros(SEGMENT, dtype=bool)
-                _merge(once, twice, np.frombuffer(row["once"], "<u2"), np.frombuffer(row["twice"], "<u2"))
-        if key:
-            yield done(key, twice)
-
-    def done(key: tuple, twice: np.ndarray) -> pa.RecordBatch:
-        rows = [(*key, np.flatnonzero(twice).astype("<u2").tobytes())] if twice.any() else []
-        return _batch(rows, [*_SEGMENT_TYPES[:2], _SEGMENT_TYPES[3]])
+    return docs.mapInArrow(scan, _SCAN_DDL)
+
+
+def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[dict]]]:
+    rows = (row for batch in batches for row in batch.to_pylist())
+    return groupby(rows, key=lambda row: (row["plane"], row["segment"]))
+
+
+def seen_twice(filters: DataFrame, segment: int) -> DataFrame:
+    """``plane, segment, twice``: the merged twice-seen filter, by positions."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (plane, at), rows in _by_segment(batches):
+            once, twice = np.zeros(segment, dtype=bool), np.zeros(segment, dtype=bool)
+            for row in rows:
+                more = np.frombuffer(row["once"], "<u4")
+                twice[more] |= once[more]
+                twice[np.frombuffer(row["twice"], "<u4")] = True
+                once[more] = True
+            places = np.flatnonzero(twice).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([plane], pa.int32()), pa.array([at], pa.int32()), pa.array([places])], ["plane", "segment", "twice"])
 
     # a document whose rows lie in two tasks may set a bit twice: that only suspects more lines
-    parts = docs.mapInArrow(local, _SEGMENT_SCHEMA)
-    n = shuffle_partitions(docs.sparkSession)
-    ordered = parts.repartition(n, "plane", "segment").sortWithinPartitions("plane", "segment")
-    planes = [np.zeros(bits // 8, dtype=np.uint8) for _ in range(PLANES)]
-    # at most 2 * PLANES bytes for each of the ``bits`` come back, whatever the input
-    for row in ordered.mapInArrow(merged, "plane int, segment int, twice binary").toLocalIterator():
-        part = np.zeros(SEGMENT, dtype=bool)
-        part[np.frombuffer(row["twice"], "<u2")] = True
-        planes[row["plane"]][row["segment"] * SEGMENT // 8 :][: SEGMENT // 8] = np.packbits(part)
-    return planes
+    placed = filters.repartition(shuffle_partitions(filters.sparkSession), "plane", "segment").sortWithinPartitions("plane", "segment")
+    return placed.select("plane", "segment", "once", "twice").mapInArrow(merge, "plane int, segment int, twice binary")
 
 
-def _has(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+def _answers(filters: DataFrame, twice: DataFrame, segment: int) -> DataFrame:
+    """``chunk, plane, places``: which positions of each chunk are seen twice, as numbers in the whole plane."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (plane, at), rows in _by_segment(batches):
+            seen, chunks, places = np.zeros(segment, dtype=bool), [], []
+            for row in rows:
+                if row["chunk"] is None:  # the merged segment comes first
+                    seen[np.frombuffer(row["places"], "<u4")] = True
+                    continue
+                own = np.frombuffer(row["places"], "<u4")
+                if len(own := own[seen[own]]):
+                    chunks.append(row["chunk"])
+                    places.append((own.astype("<i8") + at * segment).tobytes())
+            columns = [pa.array(chunks, pa.int64()), pa.array([plane] * len(chunks), pa.int32()), pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "plane", "places"])
+
+    both = filters.select("plane", "segment", "chunk", F.col("once").alias("places")).unionAll(
+        twice.select("plane", "segment", F.lit(None).cast("long"), "twice")
+    )
+    placed = both.repartition(shuffle_partitions(filters.sparkSession), "plane", "segment")
+    placed = placed.sortWithinPartitions("plane", "segment", F.col("chunk").asc_nulls_first())
+    return placed.mapInArrow(answer, "chunk long, plane int, places binary")
+
+
+def _suspects(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The lines of each chunk whose bits are seen twice in every plane."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys = np.frombuffer(row["keys"], dtype=np.uint8)
+            places, hit = _places(keys, bits), True
+            for plane in range(PLANES):
+                seen = [np.frombuffer(a["places"], "<i8") for a in row["answers"] if a["plane"] == plane]
+                hit = hit & np.isin(places[:, plane], np.concatenate(seen)) if seen else np.zeros(len(places), dtype=bool)
+            at = np.flatnonzero(hit)
+            chosen = keys.reshape(-1, 16)[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k.tobytes() for k in chosen], pa.binary()), pa.array(np.frombuffer(row["docs"], "<i8")[at], pa.int64())],
+                ["_key", "_doc"],
+            )
 
 
 def _internal(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -162,37 +193,25 @@ def _internal(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 
 def later_lines(
-    docs: DataFrame, shortest: int = 10, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shortest: int = 10, max_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``_doc, _drop``: for each document that loses lines, the digests of their keys."""
     spark = docs.sparkSession
     work = small_batches(docs).select(*_internal(docs, id_col, text_col))
     chars = docs.agg(F.sum(F.length(text_col))).head()[0] or 0
     bits = SEGMENT
-    while bits < min(max_bits, chars * BITS_PER_CHAR):
+    while bits < chars * BITS_PER_CHAR and (max_bits is None or bits < max_bits):
         bits *= 2
-    shared = spark.sparkContext.broadcast(repeat_filter(work, bits, shortest))
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, texts in slices(batch):
-                owner, keys = [], []
-                for doc, text in zip(rows.column("_doc").to_pylist(), texts):
-                    own = set(_keys(text, shortest)) - {None}
-                    keys += own
-                    owner += [doc] * len(own)
-                if not keys:
-                    continue
-                places = _positions(_hashes(keys), bits)
-                hit = np.logical_and.reduce([_has(p, places[i]) for i, p in enumerate(shared.value)])
-                at = np.flatnonzero(hit)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_digest(keys[i]) for i in at], pa.binary()), pa.array([owner[i] for i in at], pa.int64())],
-                    ["_key", "_doc"],
-                )
-
+    segment, n = max(SEGMENT, bits // MOST_SEGMENTS), shuffle_partitions(spark)
     tables = Workspace(spark)
-    found, _ = tables.save(work.mapInArrow(suspects, "_key binary, _doc long"), "suspected-lines")
+    # chunks of a task go to the bucket of their number, where the answers come to
+    scanned = tables.save_bucketed(_scanned(work, bits, segment, shortest), "lines", "chunk", n)
+    filters = scanned.where(F.col("plane").isNotNull()).select("chunk", "plane", "segment", "once", "twice")
+    twice, _ = tables.save(seen_twice(filters, segment), "seen-twice")
+    answers = _answers(filters, twice, segment).groupBy("chunk").agg(F.collect_list(F.struct("plane", "places")).alias("answers"))
+    chunks = scanned.where(F.col("plane").isNull()).select("chunk", "docs", "keys")
+    told = chunks.join(answers.hint("shuffle_hash"), "chunk").select("docs", "keys", "answers")
+    found, _ = tables.save(told.mapInArrow(partial(_suspects, bits=bits), "_key binary, _doc long"), "suspected-lines")
     # one row for each key and task reaches the shuffle, so a line of every document is no burden
     first = found.groupBy("_key").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"))
     repeated, _ = tables.save(first.where("_first < _last").drop("_last"), "repeated-lines")
@@ -201,7 +220,7 @@ def later_lines(
     return later.groupBy("_doc").agg(F.collect_set("_key").alias("_drop"))
 
 
-def _cut_lines(docs: DataFrame, counts: bool, shortest: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+def _cut_lines(docs: DataFrame, counts: bool, shortest: int, max_bits: int | None, id_col: str, text_col: str) -> DataFrame:
     doc, drop = unused(docs, "_doc"), unused(docs, "_drop")
     drops = later_lines(docs, shortest, max_bits, id_col, text_col).toDF(doc, drop)
     names = docs.columns
@@ -232,7 +251,7 @@ def _cut_lines(docs: DataFrame, counts: bool, shortest: int, max_bits: int, id_c
 
 
 def dedup_lines(
-    docs: DataFrame, shortest: int = 10, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shortest: int = 10, max_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """All rows and columns of ``docs`` with shortened texts.
 
@@ -245,7 +264,7 @@ def dedup_lines(
 
 
 def line_report(
-    docs: DataFrame, shortest: int = 10, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shortest: int = 10, max_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """As ``dedup_lines``: ``doc_id, text, n_lines, n_dropped`` (lines before, and lost)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -119,6 +119,39 @@ def test_a_full_filter_only_suspects_more(spark, monkeypatch):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == plain.dedup_lines(docs)
 
 
+def test_filters_in_many_segments(spark, monkeypatch):
+    """Filters sized by the text alone, in many segments and chunks, and in few large segments."""
+    rng = random.Random(3)
+    docs = [(i, "\n".join(f"line {rng.randrange(400)} of the text" for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    df, want = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), plain.dedup_lines(docs)
+    monkeypatch.setattr(line_dedup, "SEGMENT", 64)
+    for most in (1 << 14, 2):
+        monkeypatch.setattr(line_dedup, "MOST_SEGMENTS", most)
+        got = line_dedup.line_report(df).collect()
+        assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == want
+
+
+def test_digests_of_chunks_are_not_shuffled(spark):
+    ws = Workspace(spark)
+    docs = spark.createDataFrame([(i, f"line number {i // 2} is here") for i in range(100)], "_doc long, text string").repartition(4)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scanned = ws.save_bucketed(line_dedup._scanned(docs, 1 << 16, 1 << 16, 10), "lines", "chunk", n)
+    answers = scanned.groupBy("chunk").agg(F.count("plane").alias("answers"))
+    told = scanned.where("plane is null").join(answers, "chunk")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and told.count() == scanned.select("chunk").distinct().count()
+    before = len(spark.catalog.listTables())
+    ws.close()
+    assert len(spark.catalog.listTables()) == before - 1
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long = "\n".join(f"line number {i % 150_000} of a long text" for i in range(300_000))
+    docs = [(1, "line number 7 of a long text\nshort"), (2, long), (3, "line number 149999 of a long text")]
+    got = line_dedup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == plain.dedup_lines(docs)
+
+
 def test_line_dedup_of_odd_rows(spark):
     a = "the same long line"
     rows = [(5, a), (5, a + "\nx"), (None, a), (None, a), (2, a), (7, None), (8, "")]
