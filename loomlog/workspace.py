@@ -49,6 +49,13 @@ def _try_out(spark: SparkSession, root: str) -> None:
         raise RuntimeError(f"{root} is not shared by all executors; set spark.checkpoint.dir")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host that Spark would read and write it with, for readers and writers other than Spark's."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 class Workspace:
     """A fresh folder below the checkpoint folder for one run's tables."""
 

@@ -88,3 +88,16 @@ def test_filters(spark):
     assert tuple(L.filter_stats(df.limit(0), ["e"]).head()) == (0, 0, 0.0)
     assert tuple(L.input_stats(df).head()) == (4, 8 + 7 + 4)
     assert tuple(L.input_stats(df.limit(0)).head()) == (0, 0)
+
+
+def test_paths_follow_the_default_file_system(spark):
+    from loomlog.workspace import qualified
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert qualified(spark, "/x/a b") == "file:/x/a b"
+    conf.set("fs.defaultFS", "hdfs://localhost:1/")
+    try:
+        assert qualified(spark, "/x/y") == "hdfs://localhost:1/x/y" and qualified(spark, "file:///x") == "file:/x"
+    finally:
+        conf.set("fs.defaultFS", before)
