@@ -24,19 +24,28 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.common import id_and_text, release_memory, shuffle_partitions, slices
 from loomlog.llm.token_ids import piece_tokenizer
+from loomlog.sources.container_logs import file_store
+from loomlog.workspace import qualified
 
 #: Documents in one batch that a reader returns.
 READ_ROWS = 20_000
-
-
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+#: Bytes of input, as Spark estimates them, for one shard; a task holds the index of its shard. Above so
+#: many bytes Spark has no estimate, and the texts are counted.
+SHARD_BYTES, UNKNOWN_BYTES = 256 << 20, 1 << 60
 
 
 def _name(shard: int, kind: str) -> str:
     return f"shard-{shard:05d}.{kind}"
 
 
+def _shards(docs: DataFrame, text_col: str) -> int:
+    """One for each shuffle partition, more if the table is so large that shards would pass SHARD_BYTES."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > UNKNOWN_BYTES:
+        size = docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: int | None = None,
     id_col: str = "doc_id", text_col: str = "text",
@@ -49,8 +58,8 @@ def write_token_files(
     replaces the first. Rows with the same id follow each other by a hash of the text.
     """
     spark = docs.sparkSession
-    n = shards or shuffle_partitions(spark)
-    store, root = _open(path)
+    path, n = qualified(spark, path), shards or _shards(docs, text_col)
+    store, root = file_store(path)
     store.create_dir(root, recursive=True)
     bounded = id_and_text(docs, id_col, text_col).withColumn("_h", F.xxhash64("text"))
     placed = bounded.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("_h"))
@@ -60,7 +69,7 @@ def write_token_files(
         words = piece_tokenizer(tokenizer)
         width = "<u2" if max(words.library.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4"
         shard, own = TaskContext.get().partitionId(), uuid.uuid4().hex
-        store, root = _open(path)
+        store, root = file_store(path)
         temporary = {k: posixpath.join(root, f"_{own}.{k}") for k in ("bin", "idx")}
         ids, nulls, lengths = [], [], [np.zeros(1, dtype="<u8")]
         with store.open_output_stream(temporary["bin"]) as f:
@@ -109,10 +118,11 @@ def _map(store: fs.FileSystem, name: str, kind: str, n: int, offset: int = 0) ->
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the files: ``doc_id, start`` (ids before it in all shards),
     ``n_tokens`` and ``ids_crc32`` of its ids as little-endian 32-bit integers."""
+    path = qualified(spark, path)
     manifest = spark.read.parquet(f"{path}/manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _open(path)
+        store, root = file_store(path)
         for batch in batches:
             for row in batch.to_pylist():
                 n = row["documents"]

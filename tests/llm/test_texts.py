@@ -181,7 +181,7 @@ def test_token_files_of_another_store(spark, tmp_path, monkeypatch):
     token_files.write_token_files(nasty(spark), path, PATH, shards=2)
     want = sorted(map(str, token_files.read_token_files(spark, path).collect()))
     # a store that cannot be mapped is read in ranges
-    class Other(type(token_files._open(path)[0])):
+    class Other(type(token_files.file_store(path)[0])):
         pass
 
     monkeypatch.setattr(token_files.fs, "LocalFileSystem", Other)
