@@ -147,6 +147,7 @@ class Transducer:
         self.byte = [-1]  # of each column
         self._clear()
         self.lower, self.kind = _character_tables()
+        _newer_characters(path, self.lower, self.kind)
 
     def _clear(self) -> None:
         self.width = max(64, -(-len(self.byte) // 16) * 16)
@@ -327,6 +328,27 @@ def _character_tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, kind
 
 
+def _newer_characters(path: str, lower: np.ndarray, kind: np.ndarray) -> None:
+    """Lower case and kind of the code points that Python's tables do not know, as the tokenizer's own library
+    has them; its tables may be newer. Planes without any character in them are left out."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    new = [chr(c) for c in [*range(0x40000), *range(0xE0000, 0xF0000)] if unicodedata.category(chr(c)) == "Cn"]
+    for c, low in zip(new, library.normalizer.normalize_str("a" + "a".join(new) + "a").split("a")[1:-1]):
+        if len(low) == 1:
+            lower[ord(c)] = ord(low)
+    # a letter joins its neighbour letters, any other character but a number or a space its neighbour marks
+    joined = []
+    for mark in "a!":
+        pieces = library.pre_tokenizer.pre_tokenize_str(" ".join(mark + c + mark for c in new))
+        joined.append({start // 4 for _, (start, end) in pieces if end - start == 3})
+        spaced = {start // 4 for _, (start, end) in pieces if start % 4 == 1}
+    for i, c in enumerate(new):
+        if kind[ord(c)]:
+            kind[ord(c)] = 1 if i in joined[0] else 3 if i in joined[1] else 2 if i in spaced else 0
+
+
 _compiled: dict[str, Transducer] = {}
 
 

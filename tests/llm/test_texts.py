@@ -48,6 +48,14 @@ def test_transducer_counts_like_the_library(machine, library):
     assert machine.counts(texts).tolist() == [len(i) for i in library(texts)]
 
 
+def test_transducer_knows_every_code_point(machine, library):
+    texts = [f"a{chr(c)}B1{chr(c)}!" for c in range(0x110000) if not (0xD800 <= c < 0xE000 or 0xE000 <= c < 0xF900 or c >= 0xF0000)]
+    for i in range(0, len(texts), 50_000):
+        part = texts[i : i + 50_000]
+        wrong = [hex(ord(t[1])) for t, n, ids in zip(part, machine.counts(part).tolist(), library(part)) if n != len(ids)]
+        assert not wrong
+
+
 def test_transducer_after_a_flush_and_in_one_lane(machine, library, monkeypatch):
     texts = random_texts(200, 2) + ["ab" * 2000]
     want = [len(i) for i in library(texts)]
