@@ -4,6 +4,7 @@ from loomlog.analyze import Analysis, analyze, select_lines
 from loomlog.operators.assign import assign_templates, assign_to
 from loomlog.operators.cluster import Clustering, cluster, cluster_templates, similar_pairs
 from loomlog.operators.filters import contains_any, filter_contains_any, filter_stats, input_stats
+from loomlog.operators.index import ClusterIndex, open_index, save_index
 from loomlog.operators.merge import ClusterSet, merge_clusters
 from loomlog.operators.summary import (
     cluster_stats,
@@ -24,10 +25,10 @@ from loomlog.streaming.template_counts import (
 )
 
 __all__ = [
-    "Analysis", "ClusterSet", "ClusterStore", "Clustering", "DistinctLines", "analyze", "assign_templates", "assign_to",
+    "Analysis", "ClusterIndex", "ClusterSet", "ClusterStore", "Clustering", "DistinctLines", "analyze", "assign_templates", "assign_to",
     "cluster", "cluster_by_window", "cluster_stats", "cluster_templates", "contains_any", "counts_to_end",
     "distinct_counts_stream", "distinct_lines",
-    "filter_contains_any", "filter_stats", "input_stats", "members", "merge_clusters",
-    "ranked_clusters", "rare_clusters", "report", "select_lines", "similar_pairs", "sources",
+    "filter_contains_any", "filter_stats", "input_stats", "members", "merge_clusters", "open_index",
+    "ranked_clusters", "rare_clusters", "report", "save_index", "select_lines", "similar_pairs", "sources",
     "template_counts_stream", "templates", "top_clusters",
 ]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.operators.cluster import Clustering, check_mode, cluster_templates
+from loomlog.operators.index import ClusterIndex, assigned_by_index
 from loomlog.operators.templates import rank_order, templates
 from loomlog.plans.leaders import _choose, rank, save_comparable, tokenized
 from loomlog.plans.simjoin import similar_rows
@@ -19,7 +20,7 @@ from loomlog.workspace import Workspace
 
 def assign_templates(
     new: DataFrame,
-    clusters: DataFrame,
+    clusters: DataFrame | ClusterIndex,
     threshold: float = 0.9,
     *,
     mode: str = "first",
@@ -31,11 +32,15 @@ def assign_templates(
 
     ``clusters`` has ``by, cluster_id, normalized_text, count``; its rank order
     decides which cluster comes first. A text equal to a cluster's text has
-    similarity 1 whatever its bigrams.
+    similarity 1 whatever its bigrams. A :class:`ClusterIndex` stands for clusters that were ranked and
+    tokenized once; then only new templates are tokenized and shuffled.
     """
     threshold, metric = check_threshold(threshold), check_metric(metric)
     check_mode(mode)
     by = list(by)
+    if isinstance(clusters, ClusterIndex):
+        clusters.check(threshold, metric, by)
+        return assigned_by_index(new, clusters, mode)
     ws = Workspace(new.sparkSession)
     text = "normalized_text"
 
@@ -84,7 +89,7 @@ class Assignment:
 
 def assign_to(
     df: DataFrame,
-    clusters: DataFrame,
+    clusters: DataFrame | ClusterIndex,
     threshold: float = 0.9,
     *,
     mode: str = "first",
@@ -104,7 +109,7 @@ def assign_to(
 
 def place_templates(
     new: DataFrame,
-    clusters: DataFrame,
+    clusters: DataFrame | ClusterIndex,
     threshold: float = 0.9,
     *,
     mode: str = "first",
@@ -122,7 +127,7 @@ def place_templates(
     formed = cluster_templates(
         rest, threshold, mode=mode, metric=metric, by=by, word_filter=word_filter
     )
-    last = clusters.agg(F.max("cluster_id")).head()[0]
+    last = clusters.last if isinstance(clusters, ClusterIndex) else clusters.agg(F.max("cluster_id")).head()[0]
     start = 0 if last is None else int(last) + 1
     shifted = formed.membership.withColumns(
         {c: F.col(c) + start for c in ("template_id", "cluster_id")}

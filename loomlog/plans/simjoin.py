@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from loomlog.functions.similarity import length_bound
 from loomlog.plans.skew import hot_list
 from loomlog.plans.tokens import MASKS, none_below, score, with_lower_words
+from loomlog.workspace import Workspace
 
 # Rows of one key that a single task may hold from one side.
 BLOCK_ROWS = 20_000
@@ -144,37 +146,98 @@ def similar_rows(
 
     # the side that is not held in memory carries the words a second time, cut below the key
     if build_left:
-        r = with_lower_words(r, "p")
+        l, r = l.hint(hint), with_lower_words(r, "p")
     else:
-        l = with_lower_words(l, "p")
+        l, r = with_lower_words(l, "p"), r.hint(hint)
     l, r = l.alias("l"), r.alias("r")
+    same = reduce(and_, [F.col(f"l.{name}") == F.col(f"r.{name}") for name in on])
+    if left_first:
+        same = same & (F.col("l.id") < F.col("r.id"))
+    close, value = _similar(threshold, metric, by, wide, self_join, "r" if build_left else "l")
+    ids = [F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")]
+    if self_join:
+        ids = [F.least("l.id", "r.id").alias("left_id"), F.greatest("l.id", "r.id").alias("right_id")]
+    return l.join(r, same & close).select(*ids, value.alias("similarity"))
+
+
+def _same_group(name: str) -> Column:
+    """Equal or both null, in a form that Spark does not take for a key of the join, which would have to be part of the layout."""
+    l, r = F.col(f"l.{name}"), F.col(f"r.{name}")
+    return F.coalesce(F.array_contains(F.array(l), r), l.isNull() & r.isNull())
+
+
+def _similar(
+    threshold: float, metric: str, by: Sequence[str], wide: bool, self_join: bool, cut: str, laid_out: bool = False
+) -> tuple[Column, Column]:
+    """What rows of one key aliased ``l`` and ``r`` must fulfil to be a pair, cheap tests first, and their similarity.
+    ``cut`` is the side with the lower words, ``laid_out`` tells that the rows lie in buckets of the key alone."""
     cond = F.lit(True)
-    for name in on:
-        cond = cond & (F.col(f"l.{name}") == F.col(f"r.{name}"))
     for name in by:
-        cond = cond & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+        cond = cond & (_same_group(name) if laid_out else F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}")))
     if self_join:
         shorter = F.col("l.b") < F.col("r.b")
         cond = cond & (shorter | ((F.col("l.b") == F.col("r.b")) & (F.col("l.id") < F.col("r.id"))))
     else:
         # the pair meets in one turn only: the left text is the longer one, or it is not
-        cond = cond & (F.col("l.longer") == ~F.col("r.longer"))
+        cond = cond & (F.col("l.longer") != F.col("r.longer"))
         cond = cond & (F.col("l.longer") == (F.col("l.b") > F.col("r.b")))
-        if left_first:
-            cond = cond & (F.col("l.id") < F.col("r.id"))
     if metric == "dice_bigrams":
         ratio = F.least("l.nbytes", "r.nbytes").cast("double") / F.greatest("l.nbytes", "r.nbytes")
         cond = cond & (ratio >= F.lit(length_bound(threshold)))
     # a pair is looked at under the first token that it shares, so it comes out once
-    cond = cond & (none_below("r", "l", wide) if build_left else none_below("l", "r", wide))
+    cond = cond & none_below(cut, "l" if cut == "r" else "r", wide)
     value = score("l", "r", wide)
-    cond = cond & (value >= F.lit(threshold))
+    return cond & (value >= F.lit(threshold)), value
 
-    if build_left:
-        l = l.hint(hint)
-    else:
-        r = r.hint(hint)
-    ids = [F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")]
-    if self_join:
-        ids = [F.least("l.id", "r.id").alias("left_id"), F.greatest("l.id", "r.id").alias("right_id")]
-    return l.join(r, cond).select(*ids, value.alias("similarity"))
+
+@dataclass(frozen=True)
+class KeyIndex:
+    """One side of a join with its keys laid out once: ``rows`` is a table in buckets of ``k`` with a row per key of a
+    text, which also has its ``id`` (its rank) and ``cluster_id``; ``hot`` lists keys of more than BLOCK_ROWS rows
+    with their number ``nl``. Other texts are compared through the same ``order`` of tokens."""
+
+    rows: DataFrame
+    hot: DataFrame
+    order: tuple[int, ...]
+    threshold: float
+    metric: str
+    by: tuple[str, ...]
+    wide: bool
+
+
+def index_rows(table: TokenTable, by: Sequence[str], extra: DataFrame) -> DataFrame:
+    """The rows of a :class:`KeyIndex`, with the columns of ``extra`` by ``id``."""
+    keyed = _payload(table, True, _roles(False)[0], by)
+    return keyed.join(extra, "id")
+
+
+def probe(index: KeyIndex, right: TokenTable) -> DataFrame:
+    """Pairs ``left_id, cluster_id, right_id, similarity`` of indexed texts and those of ``right``.
+
+    Only rows of ``right`` are shuffled, to the buckets; a key that is hot on either side is taken out and cut into blocks on
+    both sides, as in :func:`similar_rows`.
+    """
+    wide, by = index.wide or right.wide, list(index.by)
+    r = _payload(right, wide, _roles(False)[1], by)
+    count = r.groupBy("k").agg(F.count(F.lit(1)).alias("nr")).join(index.hot, "k", "left")
+    blocks = lambda n: F.greatest(F.ceil(F.coalesce(F.col(n), F.lit(1)) / BLOCK_ROWS).cast("int"), F.lit(1))
+    hot = count.where((F.col("nr") > BLOCK_ROWS) | F.col("nl").isNotNull()).select("k", blocks("nl").alias("lb"), blocks("nr").alias("rb"))
+    hot, seen = Workspace(right.rows.sparkSession).save(hot, "hot-keys")
+
+    def pairs(l: DataFrame, r: DataFrame, blocked: Sequence[str]) -> DataFrame:
+        l, r = l.alias("l"), with_lower_words(r, "p").alias("r")
+        # a difference, as an equality of places would have to be part of the layout
+        same = (F.col("l.k") == F.col("r.k")) & ((F.col("l.p") - F.col("r.p")) == 0)
+        for name in blocked:
+            same = same & (F.col(f"l.{name}") == F.col(f"r.{name}"))
+        close, value = _similar(index.threshold, index.metric, by, wide, False, "r", True)
+        found = l.join(r.hint("merge" if blocked else "shuffle_hash"), same & close)
+        return found.select(F.col("l.id").alias("left_id"), F.col("l.cluster_id").alias("cluster_id"),
+                            F.col("r.id").alias("right_id"), value.alias("similarity"))
+
+    if not seen["rows"]:
+        return pairs(index.rows, r, ())
+    hot = hot_list(hot)
+    cold = pairs(index.rows, r.join(hot.select("k"), "k", "left_anti"), ())
+    chosen = index.rows.join(hot.select("k"), "k", "left_semi")
+    return cold.unionAll(pairs(_split(chosen, hot, "lb", "rb"), _split(r.join(hot.select("k"), "k", "left_semi"), hot, "rb", "lb"), ("lb", "rb")))

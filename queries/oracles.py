@@ -395,6 +395,8 @@ join t h on h.id = m.leader group by all""",
     "top_clusters_by_namespace": cluster_query(f"""select row_number() over (order by count desc, normalized_text, cluster_id) as rank,
   namespace, {_CLUSTER_COLS} from t_c order by rank limit 25""", by="namespace"),
     "assign_new_lines_best": _assign("best"),
+    "assign_new_lines_indexed": _assign(),
+    "assign_new_lines_indexed_best": _assign("best"),
     "stream_placed_clusters": _assign(order="cluster_id", both=True),
     "stream_distinct_counts": ctes(LOGS, f"w as (select time_bucket(interval '30 days', ts, timestamp '1970-01-01') as window_start, line, {text('line')} as normalized_text from logs)") + """
 select window_start, normalized_text, count(distinct line) as count, 2 * count(*) as occurrences from w where normalized_text <> '' group by all""",

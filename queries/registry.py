@@ -387,10 +387,15 @@ def _halves(spark, sf):
     return df.where(early), df.where(~early)
 
 
-def assign_new_lines(spark, sf, mode="first"):
+def assign_new_lines(spark, sf, mode="first", index=False):
     old, new = _halves(spark, sf)
     base = L.cluster(old, 0.75, mode=mode)
-    out = L.assign_to(new, base.clusters, 0.75, mode=mode)
+    known = base.clusters
+    if index:  # laid out once, opened again
+        path = Workspace(spark).path
+        L.save_index(known, path, 0.75)
+        known = L.open_index(spark, path)
+    out = L.assign_to(new, known, 0.75, mode=mode)
     heads = base.clusters.select("cluster_id", F.col("normalized_text").alias("cluster_text")).unionAll(
         out.formed.clusters.select("cluster_id", "normalized_text")
     )
@@ -568,6 +573,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_roundtrip_by_namespace": json_roundtrip_by_namespace,
     "json_errors": json_errors,
     "assign_new_lines_best": partial(assign_new_lines, mode="best"),
+    "assign_new_lines_indexed": partial(assign_new_lines, index=True),
+    "assign_new_lines_indexed_best": partial(assign_new_lines, mode="best", index=True),
     "cluster_docs_best_75": cluster_docs_best_75,
     "similar_pairs_docs_85": partial(_pairs_docs, 0.85),
     "label_set_terms": label_set_terms,
