@@ -27,6 +27,8 @@ from loomlog.workspace import Workspace
 
 # The smallest batch; larger ones are this many texts doubled, as far as the budget goes.
 FIRST_BATCH = 4096
+# Rounds after which chains of undecided templates are followed to their ends.
+CHAINS_AFTER = 5
 # Texts one task turns into token sets; the work is in the processor, not in bytes.
 TEXTS_PER_TASK = 100_000
 # Candidate pairs a batch may compare, per core of the cluster.
@@ -76,18 +78,48 @@ def _batch_end(live: DataFrame, lo: int, hi: int, budget: int) -> int | None:
     return None if end > hi else end
 
 
+def chained(ws: Workspace, live: DataFrame) -> DataFrame:
+    """Ids that a chain from a leader decides, with ``leads``, given the undecided edges ``lo < hi``.
+
+    A vertex with a single undecided earlier neighbour leads if that one does not. Such vertices point to
+    their neighbour; doubling the pointers finds where each chain begins and how far away that is. Chains that begin at a vertex
+    with several earlier neighbours stay undecided.
+    """
+    single = live.groupBy("hi").agg(F.min("lo").alias("lo"), F.max("lo").alias("_last")).where("lo = _last")
+    begin = live.select(F.col("lo").alias("id")).distinct().join(live.select(F.col("hi").alias("id")), "id", "left_anti")
+    chain, seen = ws.save(single.select(F.col("hi").alias("id"), F.col("lo").alias("to"), F.lit(True).alias("odd")), "chain")
+    moved = seen["rows"]
+    while moved:
+        step = chain
+        for _ in range(2):  # both ends double, so a table reaches four times as far as the one before
+            far = step.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+            step = step.join(far, "to", "left").select(
+                "id", F.coalesce("_to", "to").alias("to"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+                F.col("_to").isNotNull().alias("moved"),
+            )
+        saved, seen = ws.save(step, "chain", moved=F.count_if(F.col("moved")))
+        moved, chain = seen["moved"], saved.drop("moved")
+    return chain.join(begin.withColumnRenamed("id", "to"), "to", "left_semi").select("id", (~F.col("odd")).alias("leads"))
+
+
 def absorbed(ws: Workspace, edges: DataFrame, n: int) -> DataFrame | None:
     """Ids that an earlier leader absorbs, given all edges ``lo < hi``.
 
     Each round the vertices without an undecided earlier neighbour are leaders,
     their neighbours are absorbed, and the edges of absorbed vertices disappear.
-    The earliest undecided vertex always absorbs something, so it ends.
+    The earliest undecided vertex always absorbs something, so it ends. What is left after a few rounds
+    hangs together in chains, which are then followed to their ends at once (see :func:`chained`).
     """
-    live, parts = edges.select("lo", "hi"), []
+    live, parts, rounds = edges.select("lo", "hi"), [], 0
     while n:
         later = live.select(F.col("hi").alias("lo")).distinct()
-        heads = live.join(later, "lo", "left_anti").select("hi").distinct()
-        out = heads.withColumn("out", F.lit(True))
+        heads = live.join(later, "lo", "left_anti").select("hi")
+        if rounds >= CHAINS_AFTER:
+            decided, _ = ws.save(chained(ws, live), "decided")
+            led = live.join(decided.where("leads").select(F.col("id").alias("lo")), "lo", "left_semi").select("hi")
+            heads = heads.unionAll(led).unionAll(decided.where("not leads").select("id"))
+        rounds += 1
+        out = heads.distinct().withColumn("out", F.lit(True))
         marked = (
             live.join(out.withColumnRenamed("out", "hi_out"), "hi", "left")
             .join(out.select(F.col("hi").alias("lo"), F.col("out").alias("lo_out")), "lo", "left")
@@ -128,12 +160,11 @@ def assign_members(
     whose ids are ranks. Every id that is not listed is a leader."""
     budget = PAIRS_PER_CORE * ws.spark.sparkContext.defaultParallelism
     members: list[DataFrame] = []
-    live, n, batches, start = table.rows, table.n, 0, 0
+    live, n, start = table.rows.withColumn("taken", F.lit(False)), table.n, 0
     while n:
-        end = _batch_end(live, start, table.last, budget)
-        batch = live if end is None else live.where(F.col("id") < end)
+        end = _batch_end(live.where("not taken"), start, table.last, budget)
+        batch = (live if end is None else live.where(F.col("id") < end)).where("not taken")
         size = n if end is None else batch.count()
-        batches += 1
 
         part = table.part(batch, size)
         pairs = similar_rows(part, part, threshold, metric, by, self_join=True)
@@ -147,27 +178,30 @@ def assign_members(
             led = edges.join(out.select(F.col("id").alias("lo")), "lo", "left_anti")
             chosen = _choose(led, "hi", "lo", mode)
             # a single batch is read once, by the caller
-            members.append(chosen if end is None else ws.save(chosen, "members")[0])
+            members.append(chosen if end is None and not members else ws.save(chosen, "members")[0])
             leaders = batch.join(out, "id", "left_anti")
+        # a template that is taken may be closer to a later leader, so it stays for comparison in best mode
+        others = live if end is None else live.where(F.col("id") >= end)
+        if end is None:
+            others = others.where("taken")
+        if end is not None or (mode == "best" and members):
+            found = similar_rows(table.part(leaders, size), table.part(others), threshold, metric, by, left_first=True)
+            taken, seen = ws.save(_choose(found, "right_id", "left_id", mode), "members")
+            members.append(taken)
         if end is None:
             break
 
-        rest = live.where(F.col("id") >= end)
-        # the batch size is an upper bound of its leaders
-        found = similar_rows(table.part(leaders, size), table.part(rest, n - size), threshold, metric, by)
-        taken, _ = ws.save(_choose(found, "right_id", "left_id", mode), "members")
-        members.append(taken)
         # what is left is written once a batch, so later batches read nothing that is settled
-        live, seen = ws.save(rest.join(taken.select("id"), "id", "left_anti"), "live")
-        n, start = seen["rows"], end
-
-    if mode == "best" and batches > 1 and members:
-        # a leader of a later batch may be closer than the one that absorbed it
-        done = reduce(DataFrame.unionAll, members).select("id")
-        all_leaders = table.part(table.rows.join(done, "id", "left_anti"))
-        followers = table.part(table.rows.join(done, "id", "left_semi"))
-        found = similar_rows(all_leaders, followers, threshold, metric, by, left_first=True)
-        members = [ws.save(_choose(found, "right_id", "left_id", mode), "members")[0]]
+        rest = others.join(taken.select("id", F.lit(True).alias("_now")), "id", "left")
+        rest = rest.withColumn("taken", F.col("taken") | F.coalesce("_now", F.lit(False))).drop("_now")
+        rest = rest if mode == "best" else rest.where("not taken")
+        live, seen = ws.save(rest, "live", left=F.count_if(~F.col("taken")))
+        n, start = seen["left"], end
+
+    if mode == "best" and len(members) > 1:
+        # each leader was compared once with each template after it; the closest of all batches counts
+        every = reduce(DataFrame.unionAll, members).select(F.col("id").alias("_member"), F.col("cluster_id").alias("_leader"), "similarity")
+        members = [_choose(every, "_member", "_leader", mode)]
     return members
 
 

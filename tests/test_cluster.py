@@ -180,3 +180,50 @@ def test_join_is_compiled(spark, metric, wide):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
     assert len(sizes) > 3 and max(sizes) < 8000
+
+
+def greedy(edges):
+    """Vertices that an earlier leader absorbs, one after the other."""
+    earlier = {}
+    for lo, hi in edges:
+        earlier.setdefault(hi, []).append(lo)
+    out = set()
+    for v in sorted(earlier):
+        if any(u not in out for u in earlier[v]):
+            out.add(v)
+    return out
+
+
+def counted_saves(ws):
+    names = []
+    save = ws.save
+    ws.save = lambda df, name, **measures: (names.append(name), save(df, name, **measures))[1]
+    return names
+
+
+def test_long_chain_in_few_rounds(spark):
+    from loomlog.workspace import Workspace
+
+    ws = Workspace(spark)
+    names = counted_saves(ws)
+    edges = [(i, i + 1) for i in range(10_000)]
+    out = L.absorbed(ws, spark.createDataFrame(edges, "lo long, hi long"), len(edges))
+    assert {r.id for r in out.collect()} == set(range(1, 10_001, 2))
+    assert len(names) < 20
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_absorbed_equals_greedy(spark, monkeypatch, seed):
+    """Chains, trees, ladders and random edges, with the chains followed from the first round on and from the second."""
+    from loomlog.workspace import Workspace
+
+    monkeypatch.setattr(L, "CHAINS_AFTER", seed % 2)
+    rnd, edges = random.Random(seed), set()
+    edges |= {(i, i + 1) for i in range(60)}
+    edges |= {(rnd.randrange(100, i), i) for i in range(101, 160)}
+    edges |= {(i, i + d) for i in range(200, 240) for d in (1, 2)}
+    edges |= {tuple(sorted(rnd.sample(range(300, 360), 2))) for _ in range(80)}
+    edges |= {tuple(sorted((rnd.randrange(0, 360), rnd.randrange(0, 360)))) for _ in range(10 * seed)}
+    edges = [e for e in edges if e[0] != e[1]]
+    out = L.absorbed(Workspace(spark), spark.createDataFrame(edges, "lo long, hi long"), len(edges))
+    assert sorted(r.id for r in out.collect()) == sorted(greedy(edges))
