@@ -36,7 +36,7 @@ SEGMENT, MOST_SEGMENTS = 1 << 16, 1 << 14
 #: Bits of a plane for a character of text.
 BITS_PER_CHAR = 0.05
 #: Keys whose bits a task gathers before it hands them on.
-FILTER_KEYS = 500_000
+FILTER_KEYS = 200_000
 #: Filter rows in one batch.
 ROWS = 2000
 #: Stands for a null id, which comes before all others.
@@ -137,6 +137,7 @@ def seen_twice(filters: DataFrame, segment: int) -> DataFrame:
                 once[more] = True
             places = np.flatnonzero(twice).astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([plane], pa.int32()), pa.array([at], pa.int32()), pa.array([places])], ["plane", "segment", "twice"])
+        release_memory()
 
     # a document whose rows lie in two tasks may set a bit twice: that only suspects more lines
     placed = filters.repartition(shuffle_partitions(filters.sparkSession), "plane", "segment").sortWithinPartitions("plane", "segment")
@@ -159,6 +160,7 @@ def _answers(filters: DataFrame, twice: DataFrame, segment: int) -> DataFrame:
                     places.append((own.astype("<i8") + at * segment).tobytes())
             columns = [pa.array(chunks, pa.int64()), pa.array([plane] * len(chunks), pa.int32()), pa.array(places, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "plane", "places"])
+        release_memory()
 
     both = filters.select("plane", "segment", "chunk", F.col("once").alias("places")).unionAll(
         twice.select("plane", "segment", F.lit(None).cast("long"), "twice")
@@ -183,6 +185,7 @@ def _suspects(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
                 [pa.array([k.tobytes() for k in chosen], pa.binary()), pa.array(np.frombuffer(row["docs"], "<i8")[at], pa.int64())],
                 ["_key", "_doc"],
             )
+    release_memory()
 
 
 def _internal(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
