@@ -115,8 +115,10 @@ def similar_rows(
     by: Sequence[str] = (),
     self_join: bool = False,
     left_first: bool = False,
+    banded: bool = False,
 ) -> DataFrame:
-    """Pairs ``left_id, right_id, similarity`` with similarity >= threshold.
+    """Pairs ``left_id, right_id, similarity`` with similarity >= threshold; with ``banded`` keys (see
+    ``tokens.with_band_keys``) those that share a key.
 
     In a self join each unordered pair appears once, the smaller id on the left.
     ``left_first`` keeps only pairs whose left id is the smaller. Joins known to be
@@ -145,19 +147,22 @@ def similar_rows(
             on += ["lb", "rb"]
 
     # the side that is not held in memory carries the words a second time, cut below the key
+    cut = (lambda rows: rows) if banded else (lambda rows: with_lower_words(rows, "p"))
     if build_left:
-        l, r = l.hint(hint), with_lower_words(r, "p")
+        l, r = l.hint(hint), cut(r)
     else:
-        l, r = with_lower_words(l, "p"), r.hint(hint)
+        l, r = cut(l), r.hint(hint)
     l, r = l.alias("l"), r.alias("r")
     same = reduce(and_, [F.col(f"l.{name}") == F.col(f"r.{name}") for name in on])
     if left_first:
         same = same & (F.col("l.id") < F.col("r.id"))
-    close, value = _similar(threshold, metric, by, wide, self_join, "r" if build_left else "l")
+    side = None if banded else "r" if build_left else "l"
+    close, value = _similar(threshold, metric, by, wide, self_join, side)
     ids = [F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")]
     if self_join:
         ids = [F.least("l.id", "r.id").alias("left_id"), F.greatest("l.id", "r.id").alias("right_id")]
-    return l.join(r, same & close).select(*ids, value.alias("similarity"))
+    pairs = l.join(r, same & close).select(*ids, value.alias("similarity"))
+    return pairs.dropDuplicates(["left_id", "right_id"]) if banded else pairs
 
 
 def _same_group(name: str) -> Column:
@@ -167,10 +172,10 @@ def _same_group(name: str) -> Column:
 
 
 def _similar(
-    threshold: float, metric: str, by: Sequence[str], wide: bool, self_join: bool, cut: str, laid_out: bool = False
+    threshold: float, metric: str, by: Sequence[str], wide: bool, self_join: bool, cut: str | None, laid_out: bool = False
 ) -> tuple[Column, Column]:
     """What rows of one key aliased ``l`` and ``r`` must fulfil to be a pair, cheap tests first, and their similarity.
-    ``cut`` is the side with the lower words, ``laid_out`` tells that the rows lie in buckets of the key alone."""
+    ``cut`` is the side with the lower words, if any, ``laid_out`` tells that the rows lie in buckets of the key alone."""
     cond = F.lit(True)
     for name in by:
         cond = cond & (_same_group(name) if laid_out else F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}")))
@@ -185,7 +190,8 @@ def _similar(
         ratio = F.least("l.nbytes", "r.nbytes").cast("double") / F.greatest("l.nbytes", "r.nbytes")
         cond = cond & (ratio >= F.lit(length_bound(threshold)))
     # a pair is looked at under the first token that it shares, so it comes out once
-    cond = cond & none_below(cut, "l" if cut == "r" else "r", wide)
+    if cut is not None:
+        cond = cond & none_below(cut, "l" if cut == "r" else "r", wide)
     value = score("l", "r", wide)
     return cond & (value >= F.lit(threshold)), value
 

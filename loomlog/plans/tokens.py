@@ -190,6 +190,28 @@ def with_join_keys(
     )
 
 
+def with_band_keys(df: DataFrame, threshold: float, order: Sequence[int], by: Sequence[str], bands: int, width: int) -> DataFrame:
+    """As :func:`with_join_keys`, with keys that similar texts share with high probability only: a hash of ``width``
+    minimum hashes of the token set for each of ``bands``.
+
+    A pair at the threshold t shares at least t / (2 - t) of its tokens (as list lengths are no less than set sizes), so it
+    shares a band with probability 1 - (1 - (t / (2 - t)) ** width) ** bands or more.
+    """
+    tokens = F.concat(F.transform("rest", lambda x: F.xxhash64(x)), F.transform("slots", lambda x: F.xxhash64(x)))
+
+    def band(i: int) -> Column:
+        least = [F.array_min(F.transform("_tokens", lambda x: F.xxhash64(x, F.lit(i * width + j)))) for j in range(width)]  # noqa: B023
+        return F.struct(F.xxhash64(*by, F.lit(i), *least).alias("k"), F.lit(i).cast("bigint").alias("p"))
+
+    # texts without any token share all bands; a text that is too poor in tokens for any partner has none
+    enough = (F.col("s") >= required_overlap(threshold, F.col("b"), False)) | (F.col("b") == 0)
+    none = F.expr("cast(array() as array<struct<k: bigint, p: bigint>>)")
+    keys = F.when(enough, F.array(*[band(i) for i in range(bands)])).otherwise(none)
+    masks = with_join_keys(df, threshold, order, by).drop("short_keys", "long_keys")
+    hashed = df.select("id", tokens.alias("_tokens"), "s", "b", *by).select("id", keys.alias("short_keys"))
+    return masks.join(hashed, "id").withColumn("long_keys", F.col("short_keys"))
+
+
 def with_lower_words(rows: DataFrame, place: str) -> DataFrame:
     """Add the bit words cut to the slots before ``place``."""
     below = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), F.col("_q")))  # shifts by _q modulo 64

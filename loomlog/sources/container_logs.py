@@ -36,11 +36,16 @@ BATCH_BYTES = 4 << 20
 RECORD = re.compile(rb"(\d{4}-\d\d-\d\dT\S+) (stdout|stderr) ([FP])(?::\S*)? ?(.*)", re.DOTALL)
 COMPRESSED = r"\.gz$"
 
-_READ = "file string, start long, n long, time string, stream string, line string, head boolean, tail boolean, error string"
-_BATCH = pa.schema([
-    ("file", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("time", pa.string()), ("stream", pa.string()),
-    ("line", pa.string()), ("head", pa.bool_()), ("tail", pa.bool_()), ("error", pa.string()),
-])
+# What is read of a range: its file and source, and by record the rest.
+_UNIT = ["file", *SOURCE, "start"]
+_RECORD = [
+    ("n", pa.int64()), ("time", pa.string()), ("stream", pa.string()), ("line", pa.string()), ("head", pa.bool_()),
+    ("tail", pa.bool_()), ("error", pa.string()),
+]
+_READ = (
+    "file string, namespace string, pod string, container string, start long, n long, time string, stream string, "
+    "line string, head boolean, tail boolean, error string"
+)
 
 
 def list_log_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
@@ -101,14 +106,14 @@ class _Records:
     """Puts the lines of one range of a file together. The first record of a stream may go on one of an
     earlier range (``head``), the last may go on in a later one (``tail``)."""
 
-    def __init__(self, file: str, start: int):
-        self.file, self.start, self.n = file, start, 0
+    def __init__(self, start: int):
+        self.start, self.n = start, 0
         self.open: dict[str, list] = {}
         self.met: set[str] = set()
 
     def _row(self, time: str | None, stream: str | None, text: bytes, head: bool, tail: bool) -> tuple:
         self.n += 1
-        return self.file, self.start, self.n, time, stream, text.decode("utf-8", errors="replace"), head, tail, None
+        return self.n, time, stream, text.decode("utf-8", errors="replace"), head, tail, None
 
     def of(self, lines: Iterator[bytes]) -> Iterator[tuple]:
         for line in lines:
@@ -141,41 +146,43 @@ def file_store(path: str):
     return store, base.rstrip("/") + name
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BATCH.types)], schema=_BATCH)
+def _batch(unit: dict, rows: list[tuple]) -> pa.RecordBatch:
+    same = [pa.array([unit[c]] * len(rows), pa.int64() if c == "start" else pa.string()) for c in _UNIT]
+    own = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), _RECORD)]
+    return pa.RecordBatch.from_arrays(same + own, [*_UNIT, *(n for n, _ in _RECORD)])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of each range in the listing; a failure ends the range with an error row."""
     for batch in batches:
         for unit in batch.to_pylist():
-            file, start, end = unit["file"], unit["start"], unit["end"]
+            start, end = unit["start"], unit["end"]
             held, size = [], 0
             try:
-                store, name = file_store(file)
+                store, name = file_store(unit["file"])
                 with store.open_input_file(name) as raw:
                     f = gzip.GzipFile(fileobj=raw) if end is None else io.BufferedReader(raw)
-                    for row in _Records(file, start).of(_lines(f, start, end)):
+                    for row in _Records(start).of(_lines(f, start, end)):
                         held.append(row)
-                        size += len(row[5]) + 100
+                        size += len(row[3]) + 100
                         if size > BATCH_BYTES:
-                            yield _batch(held)
+                            yield _batch(unit, held)
                             held, size = [], 0
             except Exception as e:  # whatever a file or a store may raise becomes a row
-                held.append((file, start, 0, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                held.append((0, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             if held:
-                yield _batch(held)
+                yield _batch(unit, held)
 
 
 def _ranges(files: DataFrame) -> DataFrame:
-    """Units of reading: ``file, start, end``; a null ``end`` marks a compressed file."""
+    """Units of reading: a file, its source, ``start`` and ``end``; a null ``end`` marks a compressed file."""
     packed = F.lower("file").rlike(COMPRESSED)
     step = F.lit(RANGE_BYTES).cast("bigint")
     last = F.greatest(F.col("bytes") - 1, F.lit(0).cast("bigint"))
     starts = F.when(packed, F.expr("array(0L)")).otherwise(F.sequence(F.lit(0).cast("bigint"), last, step))
-    units = files.select("file", "bytes", packed.alias("packed"), F.explode(starts).alias("start"))
+    units = files.select("file", *SOURCE, "bytes", packed.alias("packed"), F.explode(starts).alias("start"))
     end = F.when(~F.col("packed"), F.least(F.col("start") + step, F.col("bytes")))
-    return units.select("file", "start", end.alias("end"))
+    return units.select(*_UNIT, end.alias("end"))
 
 
 def _stitched(edges: DataFrame) -> DataFrame:
@@ -184,9 +191,9 @@ def _stitched(edges: DataFrame) -> DataFrame:
     begins = F.coalesce(~(F.lag("tail").over(order) & F.col("head")), F.lit(True))
     numbered = edges.withColumn("_record", F.sum(begins.cast("int")).over(order))
     parts = F.array_sort(F.collect_list(F.struct("start", "n", "time", "line")))
-    whole = numbered.groupBy("file", "stream", "_record").agg(parts.alias("_parts"))
+    whole = numbered.groupBy("file", *SOURCE, "stream", "_record").agg(parts.alias("_parts"))
     text = F.array_join(F.transform("_parts", lambda p: p["line"]), "")
-    return whole.select("file", F.col("_parts")[0]["time"].alias("time"), "stream", text.alias("line"))
+    return whole.select("file", *SOURCE, F.col("_parts")[0]["time"].alias("time"), "stream", text.alias("line"))
 
 
 def scan_log_files(files: DataFrame, since: str | None = None, now: datetime | None = None) -> LogScan:
@@ -206,18 +213,17 @@ def scan_log_files(files: DataFrame, since: str | None = None, now: datetime | N
 
     records = read.where(F.col("error").isNull())
     edge = F.coalesce(F.col("head") | F.col("tail"), F.lit(False))
-    whole = records.where(~edge).select("file", "time", "stream", "line").unionAll(_stitched(records.where(edge)))
-    failed = read.where(F.col("error").isNotNull()).groupBy("file").agg(F.min("error").alias("error"))
+    whole = records.where(~edge).select("file", *SOURCE, "time", "stream", "line").unionAll(_stitched(records.where(edge)))
+    failed = read.where(F.col("error").isNotNull()).groupBy("file", *SOURCE).agg(F.min("error").alias("error"))
     if found["failed"]:
-        whole = whole.join(hot_list(failed.select("file")), "file", "left_anti")
-    sources = wanted.select("file", *SOURCE)
-    lines = whole.join(hot_list(sources), "file").select(
-        "line", *SOURCE, F.try_to_timestamp("time").alias("ts"), "stream"
-    )
+        # 128 bits stand for a path, so a row of the list is small
+        digest = F.unhex(F.md5(F.col("file").cast("binary"))).alias("_file")
+        whole = whole.withColumn("_file", digest).join(hot_list(failed.select(digest)), "_file", "left_anti")
+    lines = whole.select("line", *SOURCE, F.try_to_timestamp("time").alias("ts"), "stream")
     if since is not None:
         at = parse_since(since, _utc(now)).astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
         lines = lines.where(F.col("ts").isNull() | (F.col("ts") >= F.lit(at + "+00:00").cast("timestamp")))
-    errors = failed.join(hot_list(sources), "file").select(
+    errors = failed.select(
         F.concat(F.lit("cannot read "), "file", F.lit(": "), "error").alias("error"),
         F.concat(F.lit("pod: "), "pod", F.lit(", container: "), "container").alias("location"),
         F.lit(_rfc3339(now)).alias("timestamp"),

@@ -13,7 +13,7 @@ from loomlog.operators.cluster import check_mode
 from loomlog.operators.templates import templates
 from loomlog.plans.skew import join_on
 from loomlog.plans.tokens import check_metric, check_threshold
-from loomlog.workspace import Workspace
+from loomlog.workspace import Workspace, temporary_tables
 
 # Tables of a store, each with a folder per batch.
 PLACED = "normalized_text string, cluster_id bigint, similarity double, count bigint, occurrences bigint, representative string, existing boolean"
@@ -75,8 +75,11 @@ class ClusterStore:
 
     def place(self, lines: DataFrame, number: int) -> None:
         """Take in the lines of a batch: the function for ``foreachBatch``."""
-        if self.committed(number):
-            return
+        if not self.committed(number):
+            with temporary_tables():
+                self._place(lines, number)
+
+    def _place(self, lines: DataFrame, number: int) -> None:
         by, text, ws = self.by, "normalized_text", Workspace(self.spark)
         new, _ = ws.save(templates(lines, self.word_filter, by), "new")
         known = self.table("known", number).drop("batch")
@@ -96,7 +99,6 @@ class ClusterStore:
             rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
         store, where = self._commit_file(number)
         store.create(where, True).close()
-        ws.close()
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Place a stream of lines, e.g. with ``availableNow=True`` or ``processingTime="1 minute"``."""

@@ -7,12 +7,16 @@ task retry, never a restart of the loop.
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _checked: set[tuple[str, str]] = set()
+_scope = threading.local()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -56,6 +60,19 @@ def qualified(spark: SparkSession, path: str) -> str:
     return where.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
+@contextlib.contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Tables that operators write in this thread meanwhile are deleted at the end. What is made of them has to
+    be written or collected by then."""
+    outer, _scope.workspaces = getattr(_scope, "workspaces", None), []
+    try:
+        yield
+    finally:
+        opened, _scope.workspaces = _scope.workspaces, outer
+        for workspace in opened:
+            workspace.close()
+
+
 class Workspace:
     """A fresh folder below the checkpoint folder for one run's tables."""
 
@@ -64,6 +81,8 @@ class Workspace:
         self.path = f"{checkpoint_root(spark)}/loomlog-{uuid.uuid4().hex}"
         self._n = 0
         self._tables: list[str] = []  # names of bucketed tables; dropping one leaves its files
+        if getattr(_scope, "workspaces", None) is not None:
+            _scope.workspaces.append(self)
 
     def save(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
         """Write ``df``; return the written table and what was measured on the way:

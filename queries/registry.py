@@ -282,6 +282,16 @@ def _pairs_docs(t: float, spark, sf):
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+def approximate_pairs(t: float, spark, sf):
+    """Pairs found through bands against the exact join: how many there are, whether nine in ten are found, and how many are wrong."""
+    texts = L.templates(logs(spark, sf))
+    exact, close = L.similar_pairs(texts, t), L.similar_pairs(texts, t, bands=10)
+    both = exact.withColumn("_e", F.lit(1)).join(close.withColumn("_c", F.lit(1)), exact.columns, "full")
+    found = F.count_if(F.col("_e").isNotNull() & F.col("_c").isNotNull())
+    return both.agg(F.count("_e").alias("pairs"), F.count_if(F.col("_e").isNull()).alias("wrong"),
+                    (found >= 0.9 * F.count("_e")).alias("enough"))
+
+
 def _membership(result: L.Clustering) -> DataFrame:
     m = result.membership
     head = m.where(F.col("template_id") == F.col("cluster_id")).select(
@@ -541,6 +551,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similar_pairs_60": partial(_pairs, 0.6, "dice_bigrams"),
     "similar_pairs_chars_90": partial(_pairs, 0.9, "dice_chars"),
     "similar_pairs_docs_75": partial(_pairs_docs, 0.75),
+    "approximate_pairs_75": partial(approximate_pairs, 0.75),
     "cluster_first_75": _clustered,
     "cluster_best_75": partial(_clustered, mode="best"),
     "cluster_first_60": partial(_clustered, t=0.6),

@@ -227,3 +227,15 @@ def test_absorbed_equals_greedy(spark, monkeypatch, seed):
     edges = [e for e in edges if e[0] != e[1]]
     out = L.absorbed(Workspace(spark), spark.createDataFrame(edges, "lo long, hi long"), len(edges))
     assert sorted(r.id for r in out.collect()) == sorted(greedy(edges))
+
+
+@pytest.mark.parametrize("metric", ["dice_bigrams", "dice_chars"])
+def test_banded_pairs(spark, metric):
+    """Nothing wrong, and with many bands nothing missed."""
+    ts = sorted({*texts(150, 14), "中", "国", "a", "é", "q" * 300})
+    df = spark.createDataFrame([(x, "ab"[i % 2]) for i, x in enumerate(ts)], "normalized_text string, g string")
+    key = lambda r: (r.left_text, r.right_text, r.similarity)
+    exact = {key(r) for r in similar_pairs(df, 0.7, metric=metric, by=["g"]).collect()}
+    few = [key(r) for r in similar_pairs(df, 0.7, metric=metric, by=["g"], bands=2, band_width=4).collect()]
+    many = [key(r) for r in similar_pairs(df, 0.7, metric=metric, by=["g"], bands=40, band_width=1).collect()]
+    assert set(few) <= exact and len(few) == len(set(few)) and set(many) == exact and len(many) == len(exact) > 10

@@ -260,3 +260,23 @@ def test_generators(spark):
     df = G.realistic(spark, 2000)
     assert df.where(F.col("line").isNull()).count() == 0
     assert L.cluster(df, 0.75).clusters.agg(F.sum("count")).head()[0] == T.with_template(df).select("line").distinct().count()
+
+
+def test_tables_are_released(spark, tmp_path):
+    """Only the distinct lines and the membership stay after clustering, and nothing after their owner's end."""
+    import os
+
+    from loomlog.workspace import checkpoint_root, temporary_tables
+
+    root = checkpoint_root(spark).removeprefix("file:")
+    folders = lambda: {f"{w}/{t}" for w in os.listdir(root) if w.startswith("loomlog-") for t in os.listdir(f"{root}/{w}")}
+    df = spark.createDataFrame([(f"error {w} of job {i}",) for i in range(20) for w in ("one", "two", "three")], "line string")
+    before = folders()
+    with temporary_tables():
+        result = L.cluster(df, 0.6)
+        assert {f.rsplit("-", 1)[1] for f in folders() - before} == {"lines", "membership"}
+        assert L.members(result).count() == 60
+        with temporary_tables():
+            L.similar_pairs(L.templates(df), 0.5).count()
+        assert {f.rsplit("-", 1)[1] for f in folders() - before} == {"lines", "membership"}
+    assert folders() == before
