@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomlog.llm import line_dedup, near_dedup, packing, quality
 from loomlog.llm.common import table
 from loomlog.llm.queries import END_ID, QUALITY_CUT, mixed, tokenizer_path
-from loomlog.workspace import Workspace
+from loomlog.workspace import Workspace, temporary_tables
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, work = table(spark, sf_dir, "documents"), Workspace(spark)
+    docs, work, before = table(spark, sf_dir, "documents"), Workspace(spark), None
     for name, stage in STAGES:
-        docs, _ = work.save(stage(spark, docs, sf_dir), name)
+        with temporary_tables():  # of the stage's operator, not needed once its result is written
+            docs, _ = work.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            work.close(before)
+        before = docs
     return docs
