@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomlog.operators.cluster import Clustering, check_mode, cluster_templates
 from loomlog.operators.index import ClusterIndex, assigned_by_index
 from loomlog.operators.templates import rank_order, templates
-from loomlog.plans.leaders import _choose, rank, save_comparable, tokenized
+from loomlog.plans.leaders import _choose, rank, save_comparable, token_sets
 from loomlog.plans.simjoin import similar_rows
 from loomlog.plans.skew import join_on
 from loomlog.plans.tokens import check_metric, check_threshold, token_order, with_join_keys
@@ -46,8 +46,8 @@ def assign_templates(
 
     old, n_old = rank(ws, clusters.select(*by, "cluster_id", text, "count").orderBy(*rank_order(by)))
     fresh, n_new = rank(ws, new.orderBy(*rank_order(by)))
-    olds = tokenized(old, n_old, text, metric, by)
-    news = tokenized(fresh, n_new, text, metric, by)
+    olds = token_sets(ws, old, n_old, text, metric, by, threshold)
+    news = token_sets(ws, fresh, n_new, text, metric, by, threshold)
     order = token_order(olds.unionAll(news))
     left = save_comparable(ws, with_join_keys(olds, threshold, order, by), "old")
     right = save_comparable(ws, with_join_keys(news, threshold, order, by), "new")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomlog.operators.templates import rank_order
 from loomlog.plans import simjoin
-from loomlog.plans.leaders import _choose, rank, save_comparable, tokenized
+from loomlog.plans.leaders import _choose, rank, save_comparable, token_sets
 from loomlog.plans.simjoin import KeyIndex, index_rows, probe
 from loomlog.plans.tokens import check_metric, check_threshold, token_order, with_join_keys
 from loomlog.workspace import Workspace
@@ -53,7 +53,7 @@ def save_index(
     spark = clusters.sparkSession
     ws, buckets = Workspace(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     old, n = rank(ws, clusters.select(*by, "cluster_id", TEXT, "count").orderBy(*rank_order(by)))
-    tokens = tokenized(old, n, TEXT, metric, by)
+    tokens = token_sets(ws, old, n, TEXT, metric, by, threshold)
     order = token_order(tokens)
     table = save_comparable(ws, with_join_keys(tokens, threshold, order, by), "tokens")
 
@@ -102,7 +102,7 @@ def assigned_by_index(new: DataFrame, index: ClusterIndex, mode: str) -> DataFra
     keys, by = index.keys, list(index.keys.by)
     ws = Workspace(new.sparkSession)
     fresh, n = rank(ws, new.orderBy(*rank_order(by)))
-    tokens = tokenized(fresh, n, TEXT, keys.metric, by)
+    tokens = token_sets(ws, fresh, n, TEXT, keys.metric, by, keys.threshold)
     right = save_comparable(ws, with_join_keys(tokens, keys.threshold, keys.order, by), "new")
     same = index.texts.join(fresh.select(F.col("id").alias("right_id"), text_digest(by).alias("d")), "d").select(
         F.col("id").alias("left_id"), "cluster_id", "right_id", F.lit(1.0).alias("similarity")

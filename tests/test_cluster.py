@@ -1,10 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import loomlog.plans.leaders as L
 import loomlog.plans.simjoin as J
+import loomlog.plans.tokens as T
 from loomlog import cluster, cluster_templates, similar_pairs, templates
 from loomlog.operators.assign import assign_to, assign_templates
 from tests import plain
@@ -239,3 +241,20 @@ def test_banded_pairs(spark, metric):
     few = [key(r) for r in similar_pairs(df, 0.7, metric=metric, by=["g"], bands=2, band_width=4).collect()]
     many = [key(r) for r in similar_pairs(df, 0.7, metric=metric, by=["g"], bands=40, band_width=1).collect()]
     assert set(few) <= exact and len(few) == len(set(few)) and set(many) == exact and len(many) == len(exact) > 10
+
+
+def test_wide_join_tests_numbers_only(spark):
+    """Arrays are compared for the few rows that pass the join, not for every candidate."""
+    df = spark.createDataFrame([(x,) for x in texts(60, 4) + ["déjà vu", "déjà vue"]], "normalized_text string")
+    plan = similar_pairs(df, 0.6)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "bit_count" in line]
+    assert len(joins) == 1 and "array_intersect" not in joins[0] and "array_intersect" in plan
+
+
+def test_texts_without_partner_are_left_out_early(spark):
+    """Texts too poor in distinct pairs for any partner are not made into token sets."""
+    ts = ["", "a", "é", "ab" * 50, "the quick brown fox", "中国中国", "😀é😀é" * 9, "x" * 3000]
+    assert T.count_pairs(pa.array([*ts, None])).to_pylist() == [len({t[i : i + 2] for i in range(len(t) - 1)}) for t in ts] + [0]
+    df = spark.createDataFrame(list(enumerate(ts)), "id bigint, t string")
+    sets = L.token_sets(L.Workspace(spark), df, len(ts), "t", "dice_bigrams", [], 0.75)
+    assert {r.id for r in sets.collect()} == {0, 1, 2, 4, 5}
