@@ -49,6 +49,31 @@ def test_state_of_closed_windows_is_dropped(spark, tmp_path):
     assert len(states) == 3 and all(s["numRowsTotal"] <= 80 for s in states)
 
 
+def test_distinct_counts_read_a_line_once(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    put(spark, [(f"words of line {i % 9}", "2024-01-01 10:00:00", f"p{i}") for i in range(40)], source, "line string, ts string, pod string")
+    live = spark.readStream.schema("line string, ts timestamp, pod string").parquet(source)
+    counts = L.distinct_counts_stream(live, "1 hour", "1 minute")
+    query = (
+        counts.writeStream.outputMode("update").format("noop")
+        .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert plan.count("EventTimeWatermark") == 1 and "ReusedExchange" in plan, plan
+
+
+def test_state_of_counts_is_on_disk(spark, tmp_path):
+    """Digests are kept in files, and the session's options stay as they were."""
+    source, key = f"{tmp_path}/in", "spark.sql.streaming.stateStore.providerClass"
+    put(spark, [(f"words of line {i}", "2024-01-01 10:00:00", "p") for i in range(40)], source, "line string, ts string, pod string")
+    live = spark.readStream.schema("line string, ts timestamp, pod string").parquet(source)
+    before = spark.conf.get(key, None)
+    rows = L.counts_to_end(L.distinct_counts_stream(live, "1 hour", "1 minute"), f"{tmp_path}/out").collect()
+    assert [(r["count"], r.occurrences) for r in rows] == [(40, 40)]
+    assert list((tmp_path / "out/state/state").rglob("*.zip")) and spark.conf.get(key, None) == before
+
+
 def placed_plainly(batches, t):
     """Cluster text of each template, batch by batch: known ones stay, new ones go to the earliest cluster or are clustered."""
     score, leaders, known, out = plain.pair_score("dice_bigrams", t), [], {}, []
