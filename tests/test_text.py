@@ -82,3 +82,12 @@ def test_similarities(spark):
 def test_long_text_is_linear(spark):
     df = spark.range(1).select(F.repeat(F.lit("lorem ipsum dolor "), 20_000).alias("t"))
     assert df.select(F.size(T.bigrams("t"))).head()[0] == 18 * 20_000 - 1
+
+
+def test_bigrams_of_ascii_texts(spark):
+    """One pattern gives the pairs of an ASCII text, line breaks and repeats too; other texts are split."""
+    texts = ["ab", "a", "", "aaaa", "a\nb c\r\n", "a.*\\$(", "x" * 3000, "é", "éa", "naïve text", "a\U0001f600b", "\x00a\x00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.bigrams("t").alias("b"))
+    assert {r.t: r.b for r in df.collect()} == {t: plain.bigrams(t) for t in texts}
+    assert spark.createDataFrame([(None,)], "t string").select(T.bigrams("t").alias("b")).head().b is None
+    assert "regexp_extract_all" in df._jdf.queryExecution().toString()
