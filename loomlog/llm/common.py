@@ -18,6 +18,8 @@ SLICE_CHARS = 2_000_000
 LONG_TEXT = 2_000_000
 #: Rows of an Arrow batch of documents.
 BATCH_ROWS = 1000
+#: Rows that a Parquet reader decodes at a time where they are whole documents.
+READ_ROWS = 256
 #: The characters \x20 and \x09-\x0D, the only ones that separate words here.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -35,6 +37,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def small_reads(df: DataFrame) -> DataFrame:
+    """``df``, after setting the rows that Parquet readers decode at a time to READ_ROWS where the session has Spark's
+    default: the texts of 4096 documents are one array of tens of MB on the heap, allocated anew as it grows."""
+    conf, name = df.sparkSession.conf, "spark.sql.parquet.columnarReaderBatchSize"
+    if conf.get(name) == "4096":
+        conf.set(name, str(READ_ROWS))
+    return df
+
+
 def release_memory() -> None:
     """Give what a task has freed back to the system, where the C library can do that; workers live on."""
     with contextlib.suppress(OSError, AttributeError):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlog.llm.common import SPACES, lower_ascii, release_memory, shuffle_partitions, slices, small_batches, unused
+from loomlog.llm.common import SPACES, lower_ascii, release_memory, shuffle_partitions, slices, small_batches, small_reads, unused
 from loomlog.workspace import Workspace
 
 #: Bits that stand for one key in each filter, one in each of as many planes.
@@ -200,7 +200,7 @@ def later_lines(
 ) -> DataFrame:
     """``_doc, _drop``: for each document that loses lines, the digests of their keys."""
     spark = docs.sparkSession
-    work = small_batches(docs).select(*_internal(docs, id_col, text_col))
+    work = small_reads(small_batches(docs)).select(*_internal(docs, id_col, text_col))
     chars = docs.agg(F.sum(F.length(text_col))).head()[0] or 0
     bits = SEGMENT
     while bits < chars * BITS_PER_CHAR and (max_bits is None or bits < max_bits):
@@ -210,8 +210,7 @@ def later_lines(
     # chunks of a task go to the bucket of their number, where the answers come to
     scanned = tables.save_bucketed(_scanned(work, bits, segment, shortest), "lines", "chunk", n)
     filters = scanned.where(F.col("plane").isNotNull()).select("chunk", "plane", "segment", "once", "twice")
-    twice, _ = tables.save(seen_twice(filters, segment), "seen-twice")
-    answers = _answers(filters, twice, segment).groupBy("chunk").agg(F.collect_list(F.struct("plane", "places")).alias("answers"))
+    answers = _answers(filters, seen_twice(filters, segment), segment).groupBy("chunk").agg(F.collect_list(F.struct("plane", "places")).alias("answers"))
     chunks = scanned.where(F.col("plane").isNull()).select("chunk", "docs", "keys")
     told = chunks.join(answers.hint("shuffle_hash"), "chunk").select("docs", "keys", "answers")
     found, _ = tables.save(told.mapInArrow(partial(_suspects, bits=bits), "_key binary, _doc long"), "suspected-lines")

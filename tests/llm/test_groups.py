@@ -1,13 +1,16 @@
 """Operators that compare documents, vectors or sources, against brute force."""
 
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomlog.llm import line_dedup, mixing, near_dedup, norm_search
-from loomlog.workspace import Workspace
+from loomlog.llm.common import READ_ROWS
+from loomlog.workspace import Workspace, checkpoint_root
 from tests.llm import plain
 
 EXTRA = "doc_id long, text string, _doc string, _drop int, component_id long, _id string"
@@ -164,6 +167,31 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.dedup_lines(df.where("doc_id = 5")).where("text = ''").count() == 0  # one document
 
 
+def test_line_dedup_reads_few_documents_at_a_time(spark, tmp_path):
+    """A Parquet reader holds READ_ROWS texts at a time, unless the session says otherwise; the results are the same."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    docs = [(i, f"line number {i % 700} is here\nof {i} alone") for i in range(1500)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    before, want = spark.conf.get(name), plain.dedup_lines(docs)
+    try:
+        for own, held in ((None, READ_ROWS), (77, 77)):
+            spark.conf.unset(name) if own is None else spark.conf.set(name, str(own))
+            report = line_dedup.line_report(spark.read.parquet(str(tmp_path / "docs")))
+            assert spark.conf.get(name) == str(held) and held < 4096
+            assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in report.collect()} == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_line_dedup_writes_no_table_that_is_read_once(spark):
+    docs = spark.createDataFrame([(i, f"line number {i // 2} is here") for i in range(100)], "doc_id long, text string")
+    root = Path(urlparse(checkpoint_root(spark)).path)
+    before = set(root.glob("loomlog-*"))
+    assert line_dedup.line_report(docs).agg(F.sum("n_dropped")).head()[0] == 50
+    written = [d for work in set(root.glob("loomlog-*")) - before for d in work.iterdir()]
+    assert sorted(d.name.split("-", 1)[1] for d in written) == ["lines", "repeated-lines", "suspected-lines"]
+
+
 def brute_top_k(rows, is_query, k):
     ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows
           if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
