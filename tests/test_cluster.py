@@ -105,6 +105,17 @@ def test_cluster_equals_sequential_rule(spark, monkeypatch, mode, metric, batch,
     )
 
 
+def test_best_leader_of_a_taken_templates_own_batch(spark, monkeypatch):
+    """A template that an earlier batch has taken goes to a closer leader of the batch that it is in itself."""
+    monkeypatch.setattr(L, "FIRST_BATCH", 2)
+    monkeypatch.setattr(L, "PAIRS_PER_CORE", 0)
+    ts = ["abcdefghijkl", "queue weight", "ghijklmnopqr", "efghijklmnop", "user timing", "cache bypass"]
+    df = spark.createDataFrame([(t, 9 - i, 1, t) for i, t in enumerate(ts)], table(spark, ts).schema)
+    got = cluster_templates(df, 0.6, mode="best").membership.collect()
+    assert {r.normalized_text: ts[r.cluster_id] for r in got} == plain.leaders(ts, 0.6, mode="best")
+    assert [(r.cluster_id, round(r.similarity, 6)) for r in got if r.normalized_text == ts[3]] == [(2, round(18 / 22, 6))]
+
+
 def test_order_and_partitions_do_not_matter(spark):
     lines = [f"{t} {i}" for i, t in enumerate(texts(60, 4))] * 2
     random.Random(1).shuffle(lines)
