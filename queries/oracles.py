@@ -282,15 +282,15 @@ join t on t.id = c.leader"""
 
 
 # Per cluster what its written members and sources add up to; g names the group column.
-def _json(by: str = "") -> str:
+def _json(by: str = "", where: str = "true") -> str:
     g = f"c.{by}, " if by else ""
     on = f" and l.{by} is not distinct from x.{by}" if by else ""
     seen = f"""seen as (select distinct m.leader as cluster_id, l.namespace, l.pod, l.container
-  from (select distinct line, namespace, pod, container from logs where {_WARN}) l join t_lines x on x.line = l.line{on}
+  from (select distinct line, namespace, pod, container from logs where {where}) l join t_lines x on x.line = l.line{on}
   join t_m m on m.normalized_text = x.normalized_text{on.replace("l.", "m.")})"""
     lines = f"""mem as (select m.leader as cluster_id, count(*) as n_members, min(x.line) as first, cast(sum(strlen(x.line)) as bigint) as bytes
   from t_lines x join t_m m on m.normalized_text = x.normalized_text{on.replace("l.", "m.")} group by m.leader)"""
-    return ctes(LOGS, *clustered(where=_WARN, by=by), seen, lines, recursive=True) + f"""
+    return ctes(LOGS, *clustered(where=where, by=by), seen, lines, recursive=True) + f"""
 select {g}c.representative, c.normalized_text, array_to_string(string_split(c.normalized_text, ' '), ',') as words, c.count,
   mem.n_members, mem.first, mem.bytes, (select count(*) from seen where seen.cluster_id = c.cluster_id) as n_sources
 from t_c c join mem on mem.cluster_id = c.cluster_id"""
@@ -381,7 +381,7 @@ from t_c order by count desc, normalized_text limit 10"""),
     "assign_new_lines": _assign(),
     "merge_two_runs": _merge(),
     "json_roundtrip": _json(),
-    "json_roundtrip_by_namespace": _json("namespace"),
+    "json_roundtrip_by_namespace": _json("namespace", _WARN),
     "json_errors": ctes(LOGS) + f"""select 'no log lines' as error, 'pod: ' || pod || ', container: ' || container as location,
   '2024-02-01T00:00:00+00:00' as timestamp from (select distinct namespace, pod, container from logs where {_EARLY})""",
     "members_null_group": ctes(LOGS, _NULLED, *clustered("nulled", by="namespace"), recursive=True) + """
