@@ -269,3 +269,39 @@ def test_texts_without_partner_are_left_out_early(spark):
     df = spark.createDataFrame(list(enumerate(ts)), "id bigint, t string")
     sets = L.token_sets(L.Workspace(spark), df, len(ts), "t", "dice_bigrams", [], 0.75)
     assert {r.id for r in sets.collect()} == {0, 1, 2, 4, 5}
+
+
+@pytest.mark.parametrize("metric,by,rows,tile", [("dice_bigrams", ["g"], 25, (5, 7)), ("dice_chars", [], 20_000, (128, 1024))])
+def test_large_joins_equal_plain_ones(spark, monkeypatch, metric, by, rows, tile):
+    """The comparison with numpy finds the pairs of the plain join: wide and long texts, groups with nulls, blocks, small tiles and batches."""
+    from loomlog.plans import overlap
+    from loomlog.plans.tokens import with_join_keys
+    from loomlog.workspace import Workspace
+
+    ts = sorted({*texts(80, 8), "中", "国", "中国日志", "a", "é", "aé", "bé", "q" * 300, "größe " * 40, "größe " * 41})
+    df = spark.createDataFrame([(i, t, (None, "null")[i % 2]) for i, t in enumerate(ts)], "id long, t string, g string")
+    key = lambda r: (r.left_id, r.right_id, round(r.similarity, 12))
+    table = L.save_comparable(Workspace(spark), with_join_keys(L.tokenized(df, len(ts), "t", metric, by), 0.5, list(range(729)), by), "x")
+    calls = [(table, table, {"self_join": True}), (table.part(table.rows.where("id % 4 > 0")), table, {"left_first": True})]
+    want = [sorted(map(key, J.similar_rows(l, r, 0.5, metric, by, **o).collect())) for l, r, o in calls]
+    for name, value in (("SMALL_PRODUCT", 0), ("PLAIN_PAIRS", 0), ("BLOCK_ROWS", rows)):
+        monkeypatch.setattr(J, name, value)
+    compare = overlap.compare_sorted
+    monkeypatch.setattr(J, "compare_sorted", lambda *a: _tiled(compare(*a), tile))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = [J.similar_rows(l, r, 0.5, metric, by, **o) for l, r, o in calls]
+        assert all("MapInArrow" in d._jdf.queryExecution().toString() for d in got)
+        assert [sorted(map(key, d.collect())) for d in got] == want and min(map(len, want)) > 10
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _tiled(compare, tile):
+    def run(batches):
+        from loomlog.plans import overlap
+
+        overlap.TILE = tile
+        return compare(batches)
+
+    return run
